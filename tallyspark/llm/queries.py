@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import interleave, langid, licenses, oph, packing, sentencepieces, toxicity, url_lists, warc
+from tallyspark.llm import interleave, langid, licenses, ngram_join, oph, packing, sentencepieces, toxicity, url_lists, warc
 from tallyspark.llm.common import stage_table, table
 
 
@@ -43,6 +43,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), lambda df: stage_table(df, "pieces")[0])
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     learned = langid.dictionaries(docs, ~langid.held_out(F.col("doc_id")))
@@ -76,7 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op3_best_fit_packing, op5_language_id, op6_sentencepiece, op7_warc_bundles, op8_toxicity, op9_media_sequences, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op3_best_fit_packing, op4_ngram_jaccard_join, op5_language_id, op6_sentencepiece, op7_warc_bundles, op8_toxicity, op9_media_sequences, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -234,6 +234,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed=None, sample: int
 _models: dict[str, Model] = {}
 
 
+def model_of(key: str, sent) -> Model:
+    """One worker's model of a broadcast, made once."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model.unpack(sent.value)
+    return _models[key]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """docs (doc_id, text) with score and predicted. The model, of fixed size, is broadcast."""
     spark = docs.sparkSession
@@ -241,11 +249,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model.unpack(sent.value)
-        own = _models[key]
-        found = own.scores([x or "" for x in batch.column(1).to_pylist()])
+        found = model_of(key, sent).scores([x or "" for x in batch.column(1).to_pylist()])
         return {"doc_id": batch.column(0), "score": found, "predicted": [int(x >= threshold) for x in found]}
 
     return map_batches(docs.select("doc_id", "text"), run, schema)
