@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import constants as K
 from tallyspark.functions import scalars as S
 from tallyspark.operators import ledger as L
+from tallyspark.ship import ship
 
 NARRATIONS = [
     "UPI/123456789/SWIGGY ORDER",
@@ -29,6 +30,7 @@ NARRATIONS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
