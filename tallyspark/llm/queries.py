@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import interleave, langid, licenses, ngram_join, oph, packing, sentencepieces, toxicity, url_lists, warc
 from tallyspark.llm.common import stage_table, table
+from tallyspark.ship import ship
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,7 +23,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows: texts may be long, and a batch is what a Python worker holds."""
+    """Arrow batches of 1,000 rows: texts may be long, and a batch is what a Python worker holds. Sends the code, too."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
