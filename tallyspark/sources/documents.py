@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WORDS = "source_file string, page int, kind string, word_no int, text string, x0 double, x1 double, top double, bottom double"
 SCHEMA = WORDS + ", status string"
+KINDS = {"page": "Int32", "word_no": "Int32", "x0": float, "x1": float, "top": float, "bottom": float} | dict.fromkeys(("kind", "text", "status"), object)
 
 
 class PasswordRequired(Exception):
@@ -34,7 +35,8 @@ def read_words(spark: SparkSession, path: str, extract: Callable[[bytes], Iterab
                 except Exception as error:  # one bad file must not stop the others
                     rows, status = [], str(error)[:200]
                 own = rows or [{"kind": "blank"}]
-                yield pd.DataFrame([{"source_file": file.rsplit("/", 1)[-1], "status": status} | r for r in own]).reindex(columns=names)
+                out = pd.DataFrame([{"source_file": file.rsplit("/", 1)[-1], "status": status} | r for r in own]).reindex(columns=names)
+                yield out.astype(KINDS)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
