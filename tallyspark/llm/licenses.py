@@ -2,7 +2,8 @@
 
 Texts are normalised (lower case, everything but a-z, 0-9 and line ends becomes a blank) and compared with license
 templates by the Dice coefficient over their sets of word bigrams, 2|A and B| / (|A| + |B|): the whole text, and each
-of its lines. A template is compared only if the sizes allow the threshold, t|B| / (2 - t) <= |A| <= |B| (2 - t) / t.
+of its lines. A template is compared only if the sizes allow the threshold, t|B| <= (200 - t)|A| and t|A| <= (200 - t)|B|
+with t in per cent.
 All runs within a row: no shuffle, and no group that could be large.
 
 Null texts count as empty. Units of fewer than two words have no bigrams and match nothing. Of templates with equal
@@ -16,7 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+#: Per cent; sizes and coefficients are compared in whole numbers.
+THRESHOLD = 80
 
 # Well-known license notices.
 TEMPLATES = {
@@ -51,15 +53,15 @@ def bigrams(unit) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull() & (a != "") & (b != ""), F.concat(a, F.lit(" "), b))))
 
 
-def best_match(grams, templates: dict[str, str], threshold: float) -> Column:
+def best_match(grams, templates: dict[str, str], threshold: int) -> Column:
     """The struct (dice, name) of the best template at or above the threshold, or null; grams is an array column."""
-    size = F.size(grams)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    hits = []
+    size, hits = F.size(grams), []
     for name in sorted(templates):
         own = template_bigrams(templates[name])
-        dice = 2.0 * F.size(F.array_intersect(grams, F.lit(own))) / (size + len(own))
-        hits.append(F.when((size >= low * len(own)) & (size <= high * len(own)) & (dice >= threshold), F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
+        common = F.size(F.array_intersect(grams, F.lit(own)))
+        in_reach = ((200 - threshold) * size >= threshold * len(own)) & (threshold * size <= (200 - threshold) * len(own))
+        dice = F.struct((2.0 * common / (size + len(own))).alias("dice"), F.lit(name).alias("name"))
+        hits.append(F.when(in_reach & (200 * common >= threshold * (size + len(own))), dice))
     return F.try_element_at(F.array_sort(F.filter(F.array(*hits), lambda h: h.isNotNull()), _by_dice), F.lit(1))
 
 
@@ -67,13 +69,12 @@ def _by_dice(a, b) -> Column:
     return F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """For each row: its lines, those that match a template, the best matching line's template and coefficient, and the whole text's."""
     sizes = [len(template_bigrams(t)) for t in templates.values()]
-    low, high = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
     text = normalise(F.col("text"))
     grams = lambda u: F.filter(bigrams(u), lambda g: g.isNotNull())
-    in_reach = lambda g: (F.size(g) >= low) & (F.size(g) <= high)
+    in_reach = lambda g: ((200 - threshold) * F.size(g) >= threshold * min(sizes)) & (threshold * F.size(g) <= (200 - threshold) * max(sizes))
     rows = docs.select("doc_id", text.alias("norm")).select("doc_id", F.split("norm", "\n").alias("lines"), grams(F.trim(F.regexp_replace("norm", r"[\n ]+", " "))).alias("whole"))
     rows = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.filter(F.transform("lines", lambda u: grams(F.trim(u))), in_reach).alias("units"), F.when(in_reach(F.col("whole")), F.col("whole")).alias("whole"))
     rows = rows.select("doc_id", "n_lines", F.filter(F.transform("units", lambda g: best_match(g, templates, threshold)), lambda h: h.isNotNull()).alias("hits"), F.when(F.col("whole").isNotNull(), best_match(F.col("whole"), templates, threshold)).alias("whole"))
@@ -89,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     )
 
 
-def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+def oracle(templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD) -> str:
     """DuckDB SQL for scan() of the table documents."""
     rows = ",\n".join(f"('{n}', [{', '.join(repr(g) for g in template_bigrams(t))}])" for n, t in sorted(templates.items()))
     return rf"""
@@ -100,9 +101,10 @@ u as (select doc_id, 1 as whole, regexp_replace(norm, '[\n ]+', ' ', 'g') as uni
       select doc_id, 0, unnest(string_split(norm, chr(10))), unnest(range(len(string_split(norm, chr(10))))) from n),
 w as (select doc_id, whole, k, list_filter(string_split(trim(unit), ' '), lambda x: x <> '') as words from u),
 g as (select doc_id, whole, k, list_distinct(list_transform(range(1, greatest(len(words), 1)), lambda i: concat(words[i], ' ', words[i + 1]))) as grams from w),
-d as (select g.doc_id, g.whole, g.k, t.name, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice
-      from g join t on len(g.grams) >= {threshold / (2 - threshold)!r} * len(t.grams) and len(g.grams) <= {(2 - threshold) / threshold!r} * len(t.grams)),
-b as (select doc_id, whole, k, name, dice, row_number() over (partition by doc_id, whole, k order by dice desc, name) as r from d where dice >= {threshold}),
+d as (select g.doc_id, g.whole, g.k, t.name, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice,
+      200 * len(list_intersect(g.grams, t.grams)) >= {threshold} * (len(g.grams) + len(t.grams)) as alike
+      from g join t on {200 - threshold} * len(g.grams) >= {threshold} * len(t.grams) and {threshold} * len(g.grams) <= {200 - threshold} * len(t.grams)),
+b as (select doc_id, whole, k, name, dice, row_number() over (partition by doc_id, whole, k order by dice desc, name) as r from d where alike),
 l as (select doc_id, count(*) as license_lines, min_by(name, struct_pack(a := -dice, b := name)) as name, max(dice) as dice from b where r = 1 and whole = 0 group by 1)
 select n.doc_id, cast(len(string_split(n.norm, chr(10))) as bigint) as n_lines, coalesce(l.license_lines, 0) as license_lines,
        l.name as line_license, round(l.dice, 6) as line_dice, b.name as text_license, round(b.dice, 6) as text_dice
