@@ -209,7 +209,8 @@ def media_report(docs: DataFrame, stage) -> DataFrame:
     size = F.length(raw)
     padded = F.greatest(F.ceil(size / F.lit(WIDTH)), F.lit(1)) * WIDTH
     rows = docs.select("doc_id", size.cast("long").alias("n_bytes"), F.rpad(raw, padded.cast("int"), F.lit(b"\0")).alias("payload"))
-    features = read_media(stage(store_media(rows.select("payload"))))
+    # a table of its own, so that the join below deals references by digest anew and can split a common one
+    features = stage(read_media(stage(store_media(rows.select("payload")))))
     page = F.concat(F.lit('<article><p>Document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit('</p><figure><img src="media:'), F.sha2("payload", 256), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     sequences = parse_sequences(rows.select(F.struct("doc_id", "n_bytes").alias("id"), page.alias("html")), "id")
     found = resolve(sequences, "id", features).where("kind = 'media'")
