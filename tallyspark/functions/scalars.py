@@ -23,13 +23,23 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: a column that is used many times in an expression would be repeated in its code."""
+    return F.transform(F.array(value), f)[0]
+
+
 def parse_amount(text: Column) -> Column:
     """struct(value, tag): the last token with a digit as an absolute number, and dr, cr or neg; both null if there is none."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    token = F.try_element_at(F.filter(F.split(s, r"(?U)\s+"), lambda t: t.rlike(r"\d")), F.lit(-1))
-    value = F.regexp_replace(token, r"[^\d.]", "").try_cast("double")
-    tag = F.coalesce(F.nullif(F.lower(F.regexp_extract(s, r"(?i)(dr|cr)\.?$", 1)), F.lit("")), F.when(token.rlike(r"^[-(]") | s.rlike(r"^[-(]"), "neg"))
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), tag).alias("tag"))
+
+    def parsed(s: Column) -> Column:
+        token = F.try_element_at(F.filter(F.split(s, r"(?U)\s+"), lambda t: t.rlike(r"\d")), F.lit(-1))
+        return let(F.struct(s.alias("s"), token.alias("token"), F.regexp_replace(token, r"[^\d.]", "").try_cast("double").alias("value")), tagged)
+
+    def tagged(x: Column) -> Column:
+        tag = F.coalesce(F.nullif(F.lower(F.regexp_extract(x["s"], r"(?i)(dr|cr)\.?$", 1)), F.lit("")), F.when(x["token"].rlike(r"^[-(]") | x["s"].rlike(r"^[-(]"), "neg"))
+        return F.struct(x["value"].alias("value"), F.when(x["value"].isNotNull(), tag).alias("tag"))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), parsed)
 
 
 def _month(name: Column, full: bool) -> Column:
@@ -45,18 +55,24 @@ def parse_date(text: Column) -> Column:
     """
     token = F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)" + K.DATE, 1)
     token = F.trim(F.regexp_replace(F.regexp_replace(token, r"\s*([/\-.])\s*", "$1"), r"\s+", " "))
-    part = lambda pattern, i: F.regexp_extract(token, pattern, i)
-    numbers, names = r"^(\d{1,2})([/\-.])(\d{1,2})(?:\2(\d{4}|\d{2}))?$", r"^(\d{1,2})([ /\-])([A-Za-z]+)(?:\2(\d{4}|\d{2}))?$"
-    year = lambda y: F.when(y == "", F.lit(1900)).when(F.length(y) == 4, y.try_cast("int")).when(y.try_cast("int") >= 69, y.try_cast("int") + 1900).otherwise(y.try_cast("int") + 2000)
-    date = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%s", y, m, F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    name, name_year, name_gap = part(names, 3), part(names, 4), part(names, 2)
-    short, long = _month(name, False), _month(name, True)
-    month = F.when(short > 0, short).when((long > 0) & (F.length(name_year) == 4) & (name_gap != "/"), long)
-    return (
-        F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(token, "yyyy-MM-dd"))
-        .when(token.rlike(numbers), date(year(part(numbers, 4)), part(numbers, 3).try_cast("int"), part(numbers, 1)))
-        .when(token.rlike(names) & month.isNotNull(), date(year(name_year), month.cast("int"), part(names, 1)))
-    )
+    shape = r"^(\d{1,2})([/\-. ])(\d{1,2}|[A-Za-z]+)(?:\2(\d{4}|\d{2}))?$"
+
+    def parsed(t: Column) -> Column:
+        # all empty if the shape doesn't fit
+        parts = F.struct(*[F.regexp_extract(t, shape, i).alias(n) for i, n in enumerate(("day", "gap", "month", "year"), 1)])
+        return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")).otherwise(let(parts, dated))
+
+    def dated(p: Column) -> Column:
+        short, long = _month(p["month"], False), _month(p["month"], True)
+        named = F.when(short > 0, short).when((long > 0) & (F.length(p["year"]) == 4) & (p["gap"] != "/"), long).cast("int")
+        return let(F.struct(p["day"].alias("day"), F.when(p["month"].rlike(r"^\d"), F.when(p["gap"] != " ", p["month"].try_cast("int"))).when(p["gap"] != ".", named).alias("month"), p["year"].alias("year")), made)
+
+    def made(p: Column) -> Column:
+        year = p["year"].try_cast("int")
+        full = F.when(p["year"] == "", F.lit(1900)).when(F.length(p["year"]) == 4, year).when(year >= 69, year + 1900).otherwise(year + 2000)
+        return F.try_to_date(F.when(p["month"].isNotNull(), F.format_string("%04d-%02d-%s", full, p["month"], F.lpad(p["day"], 2, "0"))), "yyyy-MM-dd")
+
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\d"), let(token, parsed))
 
 
 def direction(debit: Column, credit: Column | None = None) -> Column:
@@ -92,11 +108,17 @@ def reference(ref: Column, description: Column) -> Column:
 def header_key(text: Column) -> Column:
     """The column that a header word names, or null. Of words joined by slashes all must name the same one."""
     table = F.create_map(*[F.lit(x) for key, words in K.HEADER_WORDS.items() for w in words.split() for x in (w, key)])
-    norm = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9/]", "")
-    bare = F.regexp_replace(norm, "^/+|/+$", "")
-    keys = F.transform(F.filter(F.split(bare, "/"), lambda p: p != ""), lambda p: F.coalesce(F.try_element_at(table, p), F.lit("?")))
-    same = F.when(bare.contains("/") & (F.size(F.array_distinct(keys)) == 1) & (keys[0] != "?"), keys[0])
-    return F.coalesce(F.try_element_at(table, norm), F.try_element_at(table, bare), same)
+
+    def named(norm: Column) -> Column:
+        bare = F.regexp_replace(norm, "^/+|/+$", "")
+        return F.coalesce(F.try_element_at(table, norm), let(bare, joined))
+
+    def joined(bare: Column) -> Column:
+        keys = F.transform(F.filter(F.split(bare, "/"), lambda p: p != ""), lambda p: F.coalesce(F.try_element_at(table, p), F.lit("?")))
+        same = let(F.array_distinct(keys), lambda k: F.when(bare.contains("/") & (F.size(k) == 1) & (k[0] != "?"), k[0]))
+        return F.coalesce(F.try_element_at(table, bare), same)
+
+    return let(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9/]", ""), named)
 
 
 def gap(x0: Column, x1: Column, a0: Column, a1: Column) -> Column:

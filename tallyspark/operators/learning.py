@@ -27,8 +27,12 @@ COLUMNS = ["description", "direction", "category", "source"]
 def n_grams(text):
     """The n-grams of a text's words; a word shorter than n is one n-gram, counted once."""
     words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = lambda n: F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= n, F.when((F.length(w) == n) | F.lit(n == 3), F.array(w)).otherwise(F.array().cast("array<string>"))).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n))))))
-    return F.concat(*[grams(n) for n in (3, 4, 5)])
+
+    def grams(word, n):
+        short = F.when((F.length(word) == n) | F.lit(n == 3), F.array(word)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(word) <= n, short).otherwise(F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n))))
+
+    return F.flatten(F.transform(words, lambda w: F.concat(*[grams(w, n) for n in (3, 4, 5)])))
 
 
 def with_terms(rows: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def train(labels: DataFrame) -> PipelineModel | None:
         CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=FEATURES),
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (STRENGTH * total), standardization=False, maxIter=200),
+        LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (STRENGTH * total), standardization=False, maxIter=60),
     ]
     model = Pipeline(stages=steps).fit(rows)
     model.stages.append(IndexToString(inputCol="prediction", outputCol="guess", labels=model.stages[0].labels))

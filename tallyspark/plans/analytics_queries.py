@@ -284,3 +284,27 @@ select month, count(*) as categories, sum(s)::double as amount from m group by 1
 def month_category_counts(spark, sf_dir):
     rows = A.dated(ledger(spark, sf_dir)).where("debit > 0")
     return rows.groupBy("month").agg(F.count_distinct("category").alias("categories"), F.sum("debit").cast("double").alias("amount"))
+
+
+@query()
+def ml_classify(spark, sf_dir):
+    """A model of rule-labelled narrations, applied to what no rule matches."""
+    from tallyspark.operators import learning
+
+    from tallyspark.plans.fixtures import raw_ledger
+
+    labels = ledger(spark, sf_dir).where("method = 'rule'").groupBy("description", S.direction(F.col("debit")).alias("direction"), "category").agg(F.lit("rule").alias("source"))
+    model = learning.train(labels.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("copy"))
+    odd = F.when(F.col("description").contains("UNKNOWN"), F.concat(F.col("description"), F.lit(" SWIGGI ORDR"))).otherwise(F.col("description"))
+    rows = raw_ledger(spark, sf_dir).select("source_file", "seq", odd.alias("description"), "debit")
+    return learning.classify(rows, model, 0.2).groupBy("category", "method").agg(F.count("*").alias("rows"))
+
+
+@query(""", w as (select source_file, seq, debit::double * case when o_orderkey % 211 = 0 then 9 else 1 end as x from ledger where debit > 0),
+s as (select avg(x) as mu, stddev_samp(x) as sigma from w)
+select source_file, seq, 'High Debit (>3.0σ)' as anomaly from w, s where abs(x - mu) / sigma >= 3""")
+def ledger_anomalies(spark, sf_dir):
+    from tallyspark.plans.fixtures import raw_ledger
+
+    wild = raw_ledger(spark, sf_dir).withColumn("debit", F.col("debit").cast("double") * F.when(F.col("o_orderkey") % 211 == 0, 9).otherwise(1))
+    return A.anomalies(wild, ("debit",)).select("source_file", "seq", "anomaly")

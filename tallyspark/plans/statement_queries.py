@@ -272,3 +272,25 @@ def consolidate_payees(spark, sf_dir):
     rows = ledger(spark, sf_dir)
     odd = F.when(F.col("seq") % 3 == 0, F.concat("counterparty", F.lit(" In"))).otherwise(F.col("counterparty"))
     return payees.consolidate(rows.withColumn("counterparty", odd)).groupBy("counterparty").agg(F.count("*").alias("rows"))
+
+
+@query(LEDGER + """, t as (select distinct source_file, page, 0 as k, 'Date Narration Withdrawal Deposit Balance' as line from ledger
+ union all select source_file, page, seq, concat_ws(' ', strftime(date, '%d/%m/%Y'), description, debit::varchar, credit::varchar, balance::varchar) from ledger)
+select source_file, string_agg(line, chr(10) order by page, k) as text from t where page <= 3 group by 1""")
+def first_pages_text(spark, sf_dir):
+    return layout.page_text(layout.page_lines(statement_words(spark, sf_dir)), 3)
+
+
+@query(HEADS + "select source_file, 'Asha Rao' as account_holder, ['USD', 'EUR', 'GBP', 'INR'][cast(custkey % 4 + 1 as bigint)] as currency, 3::bigint as pages, 1::bigint as ocr_pages from h")
+def account_profile(spark, sf_dir):
+    from tallyspark.operators.ledger import drop_empty_columns
+
+    info = account.account_info(headers_text(spark, sf_dir)).select("source_file", "account_holder", "currency", "closing_balance")
+    pages = info.select("source_file", F.explode(F.array(F.lit("text"), F.lit("ocr"), F.lit("blank"))).alias("kind"))
+    return drop_empty_columns(account.with_pages(info, pages))
+
+
+@query("select 'none' as source_file, 0 as page, '' as message where false")
+def statement_warnings(spark, sf_dir):
+    """No statement of the fixture has a warning."""
+    return assembly.warnings(statement_words(spark, sf_dir))
