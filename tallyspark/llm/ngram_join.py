@@ -15,8 +15,9 @@ fewer than `words` words: all of them as one shingle). Steps, each written to th
    token (at most RARE groups) is one by itself, which an error destroys; frequent tokens fall into COMBINED classes of
    which the pairs are signatures, so that c tokens of a class need c - 1 errors. Sets too small for pairs use single
    tokens; sets near that border use both, so that any two partners share a kind of signature.
-5. Classes of different groups with a common signature, whose sizes and numbers of tokens that are not free allow the
-   threshold, are verified on their full sets. Components of all links by alternating stars.
+5. Classes of different groups with a common signature, whose sizes, numbers of tokens that are not free and token
+   parities allow the threshold, are verified on their full sets: first each with the signature's class of the least free
+   tokens, whose links make groups grow once more, then all pairs of groups that are still apart. Components of all links by alternating stars.
 
 No step holds a posting list, a group or a component in one task; frequencies travel as sorted blocks of tokens and
 come back only for tokens of two groups and more. Hashes are 64 bits, cut to 48 after sets were formed: a false match
@@ -95,7 +96,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     out[k].append(v)
         return out
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text").join(wanted, "key")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text").join(wanted.hint("merge"), "key")  # the same plan at every size
     return map_batches(rows.select("text", "cid", "free"), run, schema)
 
 
@@ -192,7 +193,16 @@ def sharing_classes(classes: DataFrame, parts: int, percent: int) -> DataFrame:
     return with_frequencies(classes, parts, False, choose, KEPT)
 
 
-ENTRY = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "cid", "grp", "n", "cap")])
+SKETCH = [f"s{i}" for i in range(16)]
+ENTRY = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "cid", "grp", "n", "cap", *SKETCH)])
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """64 * len(SKETCH) bits, each the parity of the number of tokens that fall on it. Two sets' parities differ in at most
+    as many bits as the sets differ in tokens, and in nearly as many if those are few."""
+    bits = 64 * len(SKETCH)
+    odd = np.bincount((mix(own) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def pairs_from(percent: int) -> int:
@@ -247,7 +257,7 @@ def index_entries(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             found, cap = signatures(own, lookup(own, tokens, count), int(n), percent)
             if len(found):
                 sigs.append(found.view(np.int64))
-                heads.append((cid, grp, n, cap))
+                heads.append((cid, grp, n, cap, *parities(own).tolist()))
         if not sigs:
             return pd.DataFrame([], columns=ENTRY.names)
         sizes = [len(s) for s in sigs]
@@ -257,6 +267,43 @@ def index_entries(rows: DataFrame, parts: int, percent: int) -> DataFrame:
     return with_frequencies(rows, parts, True, build, ENTRY)
 
 
+def allowed(percent: int):
+    """Whether an entry and another one (columns with _) are of different groups and may link: by sizes, free tokens, parities.
+
+    |A xor B| <= (|A| + |B|)(100 - percent) / (100 + percent) says the same as the threshold; the number of parities that
+    differ is a lower bound of it.
+    """
+    both = F.col("n") + F.col("n_")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in SKETCH), F.lit(0))
+    sizes = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (F.least("cap", "cap_") * (100 + percent) >= percent * both)
+    return (F.col("grp") != F.col("grp_")) & sizes & (differ * (100 + percent) <= both * (100 - percent))
+
+
+def centres(entries: DataFrame) -> DataFrame:
+    """For each signature of two groups and more, the entry with the least free tokens (columns with _)."""
+    least = F.min(F.struct((F.col("n") - F.col("cap")).alias("free"), *ENTRY.names[1:])).alias("c")
+    found = entries.groupBy("sig").agg(least, F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
+    return found.select("sig", *[F.col(f"c.{c}").alias(c + "_") for c in ENTRY.names[1:]])
+
+
+def central_pairs(entries: DataFrame, central: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class and the centres of its signatures, where allowed: at most a pair for each entry."""
+    return entries.join(central, "sig").where(allowed(percent)).select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
+
+
+def regrouped(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """entries with the groups (cid, comp), without signatures of one group."""
+    found = entries.drop("grp").join(groups.withColumnRenamed("comp", "grp"), "cid", "left").withColumn("grp", F.coalesce("grp", "cid")).select(*ENTRY.names)
+    useful = found.groupBy("sig").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("sig")
+    return found.join(useful, "sig", "left_semi")
+
+
+def candidates(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different groups with a common signature, where allowed."""
+    other = index.select("sig", *[F.col(c).alias(c + "_") for c in ENTRY.names[1:]])
+    return index.join(other, "sig").where(allowed(percent) & (F.col("grp") < F.col("grp_"))).select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their full sets."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -278,7 +325,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), run, schema)
 
 
-def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def star_pairs(sets: DataFrame, percent: int, stage: Callable[[DataFrame, str], tuple[DataFrame, str]]) -> DataFrame:
     """(a, b): classes and the class of the least free tokens among those with equal minima, if they agree AGREED times."""
     schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("free", T.LongType()), T.StructField("minimum", T.LongType())])
     seeds = mix(np.arange(1, STARS + 1, dtype=np.uint64))
@@ -291,7 +338,8 @@ def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
         return {"cid": np.repeat(batch.column(0).to_numpy(), STARS), "n": np.repeat(batch.column(1).to_numpy(), STARS), "free": np.repeat(batch.column(2).to_numpy(), STARS), "minimum": np.concatenate(out).view(np.int64)}
 
     rows = map_batches(sets.select("cid", "n", "free", "tokens"), run, schema)
-    centre = rows.groupBy("minimum").agg(F.min(F.struct("free", "cid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("minimum", "c")
+    rows, _ = stage(rows, "minima")
+    centre, _ = stage(rows.groupBy("minimum").agg(F.min(F.struct("free", "cid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("minimum", "c"), "centres")
     met = rows.join(centre, "minimum").where("cid <> c.cid").where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     return met.groupBy(F.col("cid").alias("a"), F.col("c.cid").alias("b")).agg(F.count("*").alias("k")).where(F.col("k") >= AGREED).select("a", "b")
 
@@ -328,12 +376,7 @@ def parts_of(table: DataFrame, column: str) -> int:
 def link_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    paths: list[str] = []
-
-    def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        out = stage_table(df, name)
-        paths.append(out[1])
-        return out
+    stage = stage_table
 
     def drop(path: str) -> None:
         drop_table(spark, path)
@@ -349,21 +392,24 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     if sets.count() > kept.count():  # repeated rows
         sets, sets_path = stage(sets.dropDuplicates(["cid"]), "sets")
     drop(kept_path)
-    stars, _ = stage(verify(star_pairs(sets, percent), sets, percent), "stars")
+    stars, _ = stage(verify(star_pairs(sets, percent, stage), sets, percent), "stars")
     release_shuffles(spark)
     groups, _ = stage(components(stars, stage), "groups")
     grouped = sets.join(groups.withColumnRenamed("comp", "grp"), "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-    index, index_path = stage(index_entries(grouped.select("cid", "grp", "n", "tokens"), parts_of(sets, "tokens"), percent), "index")
+    entries, entries_path = stage(index_entries(grouped.select("cid", "grp", "n", "tokens"), parts_of(sets, "tokens"), percent), "index")
     del grouped
     release_shuffles(spark)
-    useful = index.groupBy("sig").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("sig")
-    index = index.join(useful, "sig", "left_semi")
-    other = index.select("sig", *[F.col(c).alias(c + "2") for c in ENTRY.names[1:]])
-    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.least("cap", "cap2") * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
-    pairs = index.join(other, "sig").where((F.col("grp") < F.col("grp2")) & fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+    # tables of their own, so that the joins deal by signature anew and can split a common one
+    central, _ = stage(centres(entries), "centres")
+    near, _ = stage(verify(central_pairs(entries, central, percent), sets, percent), "near")
+    stars = stars.unionByName(near)
+    groups, _ = stage(components(stars, stage), "groups")
+    index, index_path = stage(regrouped(entries, groups), "index")
+    drop(entries_path)
+    pairs, pairs_path = stage(candidates(index, percent), "pairs")
     more, _ = stage(verify(pairs, sets, percent), "more")
-    drop(index_path)
-    drop(sets_path)
+    for path in (index_path, pairs_path, sets_path):
+        drop(path)
     found = components(stars.unionByName(more), stage)
     # each class's smallest document, and each component's
     first = rows.where("cid is not null").groupBy("cid").agg(F.min("key").alias("key")).join(found, "cid", "left")

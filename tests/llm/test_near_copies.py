@@ -116,6 +116,16 @@ def test_prefixes_meet():
             assert len(np.intersect1d(a, b))
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (3, 50, 900):
+        x = np.unique(rng.integers(0, 2**48, n, dtype=np.uint64))
+        for keep in (1.0, 0.95, 0.3):
+            y = x[rng.random(len(x)) <= keep]
+            differ = int(np.bitwise_count((ngram_join.parities(x) ^ ngram_join.parities(y)).view(np.uint64)).sum())
+            assert differ <= len(x) - len(y) and (len(x) - len(y) > 20 or differ >= len(x) - len(y) - 4)
+
+
 def test_components_of_paths_and_stars(spark):
     from tallyspark.llm.common import stage_table
 
