@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import constants as K
@@ -59,7 +59,19 @@ def header_detect(spark, sf_dir):
     return found.select("source_file", "page", "header_line", F.array_join(F.transform("header", lambda a: a["key"]), ",").alias("keys"))
 
 
-@query()
+#: Columns at their print positions: of the numeric ones those with amounts in enough rows, and where texts begin.
+INFERRED = LEDGER + """, t as (select source_file, page, count(*) as n, count(debit) as d, count(credit) as c, count(balance) as b,
+  330 + 6 * max(length(debit::varchar)) as d1, 420 + 6 * max(length(credit::varchar)) as c1, 510 + 6 * max(length(balance::varchar)) as b1 from ledger group by 1, 2),
+w as (select source_file, page, string_split(description, ' ') as ws from ledger),
+x as (select source_file, page, list_sort(list(110 + 6 * i + 6 * coalesce(list_sum(list_transform(ws[1:i], lambda p: length(p))), 0))) as xs
+      from (select source_file, page, ws, unnest(range(len(ws))) as i from w) where regexp_matches(ws[i + 1], '[A-Za-z]') group by 1, 2),
+k as (select source_file, page, n, list_filter([case when d >= greatest(2, 0.2 * n) then [330, d1] end, case when c >= greatest(2, 0.2 * n) then [420, c1] end, case when b >= greatest(2, 0.2 * n) then [510, b1] end], lambda z: z is not null) as found from t)
+select k.source_file, k.page, array_to_string(list_transform(range(1, len(found) + 1), lambda i: concat([['balance'], ['amount', 'balance'], ['debit', 'credit', 'balance']][len(found)][i], ':', found[i][1]::double, ':', found[i][2]::double)), ',')
+  || ',date:40.0:80.0' || coalesce(',desc:' || (xs[len(xs) // 2 + 1])::double || ':' || (xs[len(xs) // 2 + 1] + 40)::double, '') as anchors
+from k left join x on k.source_file = x.source_file and k.page = x.page where n >= 3 and len(found) > 0"""
+
+
+@query(INFERRED)
 def infer_anchors(spark, sf_dir):
     body = statement_words(spark, sf_dir).where("top > 0")
     found = layout.page_layout(body).where("inferred is not null")
@@ -123,19 +135,17 @@ def nearest_column(spark, sf_dir):
 
 @query("select l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] as middle from lineitem group by 1")
 def upper_median(spark, sf_dir):
-    values = F.array_sort(F.collect_list("l_quantity"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.element_at(values, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("middle"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(layout.upper_median(F.collect_list("l_quantity")).alias("middle"))
 
 
 @query("""with c as (select l_suppkey, l_extendedprice as x, l_extendedprice - lag(l_extendedprice) over (partition by l_suppkey order by l_extendedprice) > 25 as far from lineitem),
 n as (select l_suppkey, x, sum(case when far then 1 else 0 end) over (partition by l_suppkey order by x rows unbounded preceding) as k from c)
 select l_suppkey, k::bigint as cluster, count(*) as numbers, min(x) as x0, max(x) as x1 from n group by 1, 2""")
 def amount_clusters(spark, sf_dir):
-    order = Window.partitionBy("l_suppkey").orderBy("l_extendedprice")
-    far = F.coalesce(F.col("l_extendedprice") - F.lag("l_extendedprice").over(order) > K.NUMBER_GAP, F.lit(False))
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", far.alias("far"))
-    rows = rows.withColumn("cluster", F.sum(F.col("far").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("l_suppkey", "cluster").agg(F.count("*").alias("numbers"), F.min("l_extendedprice").alias("x0"), F.max("l_extendedprice").alias("x1"))
+    spans = F.collect_list(F.struct(F.col("l_extendedprice").alias("x0"), F.col("l_extendedprice").alias("x1")))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(layout.clusters(spans).alias("c"))
+    rows = found.select("l_suppkey", F.posexplode("c").alias("cluster", "c"))
+    return rows.select("l_suppkey", F.col("cluster").cast("long").alias("cluster"), F.size("c").cast("long").alias("numbers"), F.array_min("c.x0").alias("x0"), F.array_max("c.x1").alias("x1"))
 
 
 LINE_TEXTS = ["01/02/2024 SHOP 10.00 90.00", "Page 2 of 3", "Opening Balance 1,000.00", "TOTAL 55.00", "see total below", "B/F 12.50 Cr", "Closing  Balance : 5.00", "wrapped narration"]
@@ -244,20 +254,76 @@ def account_header(spark, sf_dir):
     return account.account_info(headers_text(spark, sf_dir)).select("source_file", "account_holder", "branch", "period_from", "period_to", "opening_balance", "closing_balance")
 
 
+#: What is wrong with a row, by its order key modulo FAULTS.
+FAULTS = 41
+
+
 def dirty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger with a fault in some rows by order key: swapped columns, wrong digits, missing or undirected amounts."""
-    k = F.col("o_orderkey") % 97
+    """The ledger with a fault in some rows: swapped columns (0), a wrong digit of the balance (1) or the amount (2), no
+    balance (3), no amount (4), no direction (5), neither direction nor balance (6), wrong amount and balance (7), another balance (8)."""
+    k = F.col("o_orderkey") % FAULTS
     amount = F.coalesce("debit", "credit")
     rows = raw_ledger(spark, sf_dir)
-    wrong = lambda c: F.when(F.col(c).isNotNull(), (F.col(c) + F.when(k == 2, 10).otherwise(0)).cast("decimal(18,2)"))
-    gone = k.isin(4, 5)
-    return rows.select("source_file", "seq", F.when(gone, None).when(k == 0, F.col("credit")).otherwise(wrong("debit")).alias("debit"), F.when(gone, None).when(k == 0, F.col("debit")).otherwise(wrong("credit")).alias("credit"), F.when(k == 3, None).otherwise((F.col("balance") + F.when(k == 1, 100).otherwise(0)).cast("decimal(18,2)")).alias("balance"), F.when(k == 5, amount).alias("pending"), k.cast("int").alias("fault"))
-
-
-@query()
+    wrong = lambda c: F.when(F.col(c).isNotNull(), (F.col(c) + F.when(k == 2, 10).when(k == 7, 7777777).otherwise(0)).cast("decimal(18,2)"))
+    gone = k.isin(4, 5, 6)
+    balance = F.when(~k.isin(3, 6), (F.col("balance") + F.when(k == 1, 100).when(k == 7, 123456789).when(k == 8, 9876543).otherwise(0)).cast("decimal(18,2)"))
+    opening = F.when(F.col("o_custkey") % 5 > 0, F.lit(100000).cast("decimal(18,2)"))
+    return rows.select("source_file", "seq", F.when(gone, None).when(k == 0, F.col("credit")).otherwise(wrong("debit")).alias("debit"), F.when(gone, None).when(k == 0, F.col("debit")).otherwise(wrong("credit")).alias("credit"), balance.alias("balance"), F.when(k.isin(5, 6), amount).alias("pending"), opening.alias("opening"), k.cast("int").alias("fault"))
+
+
+def _near(a: str, b: str) -> str:
+    """Near digits in SQL, of amounts written with two decimals."""
+    x, y = (f"cast(cast(abs({v}) as decimal(18,2)) as varchar)" for v in (a, b))
+    return f"(length({x}) = length({y}) and len(list_filter(range(1, length({x}) + 1), lambda i: {x}[i] <> {y}[i])) <= 2)"
+
+
+#: One step of the recursion is one row of each file: what direction, what chain, what evidence, what is repaired.
+DIRTY = f"""with recursive {LEDGER.strip().removeprefix("with ")},
+f as (select source_file, seq, o_orderkey % {FAULTS} as fault, debit, credit, balance, o_custkey % 5 > 0 as opened from ledger),
+g as (select source_file, seq, fault, opened,
+  cast(case when fault in (4, 5, 6) then null when fault = 0 then credit else debit + case fault when 2 then 10 when 7 then 7777777 else 0 end end as decimal(18,2)) as dr,
+  cast(case when fault in (4, 5, 6) then null when fault = 0 then debit else credit + case fault when 2 then 10 when 7 then 7777777 else 0 end end as decimal(18,2)) as cr,
+  cast(case when fault not in (3, 6) then balance + case fault when 1 then 100 when 7 then 123456789 when 8 then 9876543 else 0 end end as decimal(18,2)) as bal,
+  case when fault in (5, 6) then coalesce(debit, credit) end as pend from f),
+d as (select *, lead(seq) over w is not null as more, lead(coalesce(cr, 0) - coalesce(dr, 0)) over w as next_move, lead(bal) over w as next_bal from g window w as (partition by source_file order by seq)),
+r(source_file, seq, debit, credit, balance, flag, fault, start) as (
+  select distinct source_file, 0::bigint, null::decimal(18,2), null::decimal(18,2), null::decimal(18,2), '', 0::bigint, case when opened then 100000::decimal(18,2) end from d
+  union all
+  select source_file, seq,
+    case when flag = 'column_swap_fixed' then cr when flag in ('amount_corrected', 'amount_from_balance') then case when step > 0 then null else -step end else dr end,
+    case when flag = 'column_swap_fixed' then dr when flag in ('amount_corrected', 'amount_from_balance') then case when step > 0 then step end else cr end,
+    case when bal is null or flag = 'balance_corrected' then comp else bal end, flag, fault,
+    case when bal is null then coalesce(comp, before) when flag = 'balance_corrected' then comp else bal end
+  from (
+    select *, case
+      when bal is null then coalesce(nullif(f1, ''), 'balance_missing')
+      when before is null or comp = bal then f1
+      when known and step = -move then 'column_swap_fixed'
+      when known and not goes_on and {_near("comp", "bal")} then 'balance_corrected'
+      when known and not comp_goes_on and {_near("step", "coalesce(dr, cr)")} then 'amount_corrected'
+      when known and comp_goes_on and not goes_on then 'balance_corrected'
+      when step <> 0 and (goes_on or (not known and not more)) then 'amount_from_balance'
+      else coalesce(nullif(f1, ''), 'balance_mismatch') end as flag
+    from (
+      select *, cast(before + move as decimal(18,2)) as comp, cast(bal - before as decimal(18,2)) as step,
+        coalesce(more and bal + next_move = next_bal, false) as goes_on, coalesce(more and before + move + next_move = next_bal, false) as comp_goes_on
+      from (
+        select * replace (coalesce(start, case when known and bal is not null then bal - move end) as before),
+          case when start is null and known and bal is not null then coalesce(nullif(f0, ''), 'first_row_unverified') else f0 end as f1
+        from (
+          select *, coalesce(cr, 0) - coalesce(dr, 0) as move, dr is not null or cr is not null as known, start as before
+          from (
+            select d.source_file, d.seq, d.fault, d.bal, d.more, d.next_move, d.next_bal, r.start,
+              case when pend is null then dr when coalesce(r.start + pend = bal, false) then null else pend end as dr,
+              case when pend is null then cr when coalesce(r.start + pend = bal, false) then pend end as cr,
+              case when pend is null or coalesce(r.start + pend = bal, false) or coalesce(r.start - pend = bal, false) then '' else 'direction_guessed' end as f0
+            from r join d on d.source_file = r.source_file and d.seq = r.seq + 1))))))
+select source_file, seq, debit::double as debit, credit::double as credit, balance::double as balance, flag, fault::integer as fault from r where seq > 0"""
+
+
+@query(DIRTY)
 def reconcile_dirty(spark, sf_dir):
-    opening = raw_ledger(spark, sf_dir).select("source_file", F.lit(100000).cast("decimal(18,2)").alias("opening")).distinct()
-    found = reconcile(dirty_ledger(spark, sf_dir), opening)
+    found = reconcile(dirty_ledger(spark, sf_dir))
     return found.select("source_file", "seq", *[F.col(c).cast("double").alias(c) for c in ("debit", "credit", "balance")], "flag", "fault")
 
 
@@ -267,11 +333,15 @@ def reconcile_clean(spark, sf_dir):
     return reconcile(rows).select("source_file", "seq", *[F.col(c).cast("double").alias(c) for c in ("debit", "credit", "balance")], "flag")
 
 
-@query()
+@query(LEDGER + """, o2 as (select source_file, seq, counterparty as name, case when seq % 3 = 0 then counterparty || ' In' else counterparty end as own from ledger),
+c as (select source_file, name, own, count(*) as n, min(seq) as first from o2 group by 1, 2, 3),
+lead as (select source_file, name, min_by(own, struct_pack(a := -n, b := first)) as counterparty from c group by 1, 2)
+select o2.source_file, seq, lead.counterparty from o2 join lead on o2.source_file = lead.source_file and o2.name = lead.name""")
 def consolidate_payees(spark, sf_dir):
+    """Each third name is printed with another word; no other two names of the fixture are similar."""
     rows = ledger(spark, sf_dir)
     odd = F.when(F.col("seq") % 3 == 0, F.concat("counterparty", F.lit(" In"))).otherwise(F.col("counterparty"))
-    return payees.consolidate(rows.withColumn("counterparty", odd)).groupBy("counterparty").agg(F.count("*").alias("rows"))
+    return payees.consolidate(rows.withColumn("counterparty", odd)).select("source_file", "seq", "counterparty")
 
 
 @query(LEDGER + """, t as (select distinct source_file, page, 0 as k, 'Date Narration Withdrawal Deposit Balance' as line from ledger
@@ -290,7 +360,72 @@ def account_profile(spark, sf_dir):
     return drop_empty_columns(account.with_pages(info, pages))
 
 
-@query("select 'none' as source_file, 0 as page, '' as message where false")
+WARNED = LEDGER + """, n as (select source_file, o_custkey % 5 as k, count(*) filter (where page = 1) as rows from ledger group by 1, 2)
+select source_file, case k when 0 then 1 when 1 then 1000 end as page,
+  case k when 0 then 'column header unreadable, columns inferred from number positions' when 1 then 'blank or unreadable page, skipped' else 'no transaction table detected' end as message
+from n where (k = 0 and rows >= 3) or k in (1, 2)"""
+
+
+def faulty_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed statements by number: without header (0), with a blank page more (1), without dates (2), as they are (3, 4)."""
+    words, k = statement_words(spark, sf_dir), F.regexp_extract("source_file", r"(\d+)$", 1).cast("long") % 5
+    gone = ((k == 0) & (F.col("top") == 0)) | ((k == 2) & (F.col("top") > 0) & (F.col("x0") == 40))
+    page = words.where((k == 1) & (F.col("page") == 1) & (F.col("word_no") == 0)).withColumns({"page": F.lit(1000), "kind": F.lit("blank"), "text": F.lit("")})
+    return words.where(~gone).unionByName(page)
+
+
+@query(WARNED)
 def statement_warnings(spark, sf_dir):
-    """No statement of the fixture has a warning."""
-    return assembly.warnings(statement_words(spark, sf_dir))
+    return assembly.warnings(faulty_statements(spark, sf_dir))
+
+
+@query(LEDGER + """, w as (select source_file, seq, page, o_custkey, description as d, o_orderkey from ledger)
+select l.source_file, l.seq, date, description, ref, debit::double as debit, credit::double as credit, balance::double as balance,
+  case when seq = 1 then 'first_row_unverified' else '' end as flag, page, counterparty, 'State Bank of India' as bank_name, lpad(o_custkey::varchar, 9, '0') as account_number, category, confidence, method
+from ledger l""")
+def statement_to_ledger(spark, sf_dir):
+    """From words to classified transactions with account and payee, as one run over files."""
+    # an account line above the first page's header
+    words = statement_words(spark, sf_dir)
+    number = F.lpad(F.regexp_extract("source_file", r"(\d+)$", 1), 9, "0")
+    first = words.where("page = 1 and word_no = 0")
+    head = first.select("source_file", "page", "kind", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), t.alias("t"), F.lit(float(x)).alias("x")) for i, (t, x) in enumerate([(F.lit("Account"), 40), (F.lit("No:"), 90), (number, 120), (F.lit("IFSC"), 240), (F.lit("SBIN0001234"), 270)])])).alias("w"))
+    head = head.select("source_file", "page", "kind", (F.col("w.n") - 10).alias("word_no"), F.col("w.t").alias("text"), F.col("w.x").alias("x0"), (F.col("w.x") + 6 * F.length("w.t")).alias("x1"), F.lit(-24.0).alias("top"), F.lit(-14.0).alias("bottom"))
+    found = assembly.statement_ledger(words.unionByName(head))
+    return found.withColumns({c: F.col(c).cast("double") for c in ("debit", "credit", "balance")})
+
+
+BARE = [("01/02/2024 SHOP 10.00 90.00", "01/02/2024", "SHOP", "10.00", "90.00"), ("5 Mar COFFEE BAR 1,000.50 2.00Dr", "5 Mar", "COFFEE BAR", "1,000.50", "2.00Dr"), ("2024-01-05 NO AMOUNTS HERE", "2024-01-05", "NO AMOUNTS HERE", None, None), ("wrapped narration 5.00", None, "wrapped narration 5.00", None, None)]
+
+
+@query(f"""with t as (select event_id, cast(event_id % {len(BARE)} + 1 as bigint) as k from events)
+select event_id, {_strings(b[0] for b in BARE)}[k] as text, {_strings(b[1] for b in BARE)}[k] as date, {_strings(b[2] for b in BARE)}[k] as "desc", {_strings(b[3] for b in BARE)}[k] as amount, {_strings(b[4] for b in BARE)}[k] as balance from t""")
+def cells_without_columns(spark, sf_dir):
+    """Lines of pages on which no columns are known."""
+    text = F.element_at(F.lit([b[0] for b in BARE]), (F.col("event_id") % len(BARE) + 1).cast("int"))
+    word = F.transform(F.split("text", " "), lambda t: F.struct(t.alias("text"), F.lit(0.0).alias("x0"), F.lit(1.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(1.0).alias("bottom")))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text")).withColumns({"words": word, "anchors": F.lit(None).cast("array<struct<key:string,x0:double,x1:double>>")})
+    return layout.cells(rows).select("event_id", "text", "date", "desc", "amount", "balance")
+
+
+@query("""select event_id, make_date(2024, cast(event_id % 12 + 1 as bigint), 5) as day, case when event_id % 4 = 3 then 'more' else 'start' end as kind_of
+from events where event_id % 4 < 3 union all select event_id, null, 'more' from events where event_id % 4 = 3""")
+def serial_before_date(spark, sf_dir):
+    """Dates in cells with and without a serial number before them."""
+    months = F.element_at(F.lit("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()), (F.col("event_id") % 12 + 1).cast("int"))
+    day = F.concat(F.lit("05 "), months, F.lit(" 2024"))
+    k = F.col("event_id") % 4
+    cell = F.when(k == 0, F.concat(F.lit("17 "), day)).when(k == 1, day).when(k == 2, F.concat(F.lit(" 123  "), day)).otherwise("17 items")
+    rows = table(spark, sf_dir, "events").select("event_id", cell.alias("date"), F.lit("line").alias("text"))
+    return assembly.mark_lines(rows).select("event_id", "day", "kind_of")
+
+
+@query(LEDGER + """, m as (select source_file, seq, date, seq % 5 = 0 as known, case when seq = 2 then year(date) + 1 end as wrapped from ledger),
+a as (select *, case when known then year(date) when seq = 2 then wrapped end as anchor from m),
+b as (select *, count(anchor) over (partition by source_file order by seq) as grp, case when anchor is null and month(date) < lag(month(date)) over (partition by source_file order by seq) then 1 else 0 end as back from a)
+select source_file, seq, case when grp = 0 then 1900 else first_value(anchor) over (partition by source_file, grp order by seq) + sum(back) over (partition by source_file, grp order by seq rows unbounded preceding) end::bigint as year from b""")
+def wrapped_year(spark, sf_dir):
+    """The year of a row's second line counts until a dated row has one."""
+    yearless = F.try_to_date(F.concat(F.lit("1900"), F.date_format("date", "-MM-"), F.lpad(F.least(F.dayofmonth("date"), F.lit(28)).cast("string"), 2, "0")), "yyyy-MM-dd")
+    rows = raw_ledger(spark, sf_dir).select("source_file", "seq", F.lit(1).alias("page"), F.col("seq").alias("line_no"), F.when(F.col("seq") % 5 == 0, F.col("date")).otherwise(yearless).alias("day"), F.when(F.col("seq") == 2, F.year("date") + 1).cast("int").alias("wrapped_year"))
+    return assembly.infer_years(rows).select("source_file", "seq", F.year("day").cast("long").alias("year"))
