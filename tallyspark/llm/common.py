@@ -46,6 +46,13 @@ def stage_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for files; it lives until the end of the driver."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_table, spark, path)
+    return path
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended; what is left is a temporary table
         jvm = spark.sparkContext._jvm
@@ -61,6 +68,22 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What Python workers remember from task to task (dicts): models, and words with what is known of them.
+caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dict of this worker that free_caches() empties."""
+    caches.append({})
+    return caches[-1]
+
+
+def free_caches() -> None:
+    """Workers are used again by later stages, which need the memory for themselves."""
+    for c in caches:
+        c.clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,9 @@ caption. resolve() joins the references to a media table on the digest, so that
 payload's features. Payloads are 8-bit greyscale PNG images of 64 samples a row, written and read without loss.
 
 Null HTML gives an empty sequence, and a document without segments keeps its row. References that no payload has keep
-null features. Media rows with equal digests count once; a null digest matches nothing.
+null features. Media rows with equal digests count once; a null digest matches nothing. A caption ends with its figure at
+the latest; text after a caption that nothing ends is text of its own, so no text is lost. Repeated rows, and rows with
+equal ids, give a row each; very long texts are stored whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -82,7 +84,12 @@ def feature(payload: bytes) -> str:
 class _Segments(HTMLParser):
     """Texts and media references in document order; figcaption and alt become the caption of their media."""
 
-    SKIP, VOID = {"script", "style"}, {"img", "br", "hr", "meta", "link", "input", "source"}
+    SKIP = {"script", "style", "template"}
+    #: Elements that break a line of text at their begin and end.
+    BLOCK = set(
+        "address article aside blockquote body br caption center dd details dialog div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav "
+        "ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
+    )
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -97,36 +104,55 @@ class _Segments(HTMLParser):
             self.out.append({"pos": len(self.out), "kind": "text", "text": text, "digest": None, "caption": None})
         self.text = []
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            for x in self.out[self.figure or 0 :] if self.figure is not None else self.out[-1:]:
+                if x["kind"] == "media":
+                    x["caption"] = text
+            self.caption = None
+
+    def close(self) -> None:
+        super().close()
+        if self.caption is not None:  # nothing ended it: what it has may be the rest of the document
+            self.text, self.caption = [*self.text, *self.caption], None
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in self.SKIP:
             self.skip += 1
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = len(self.out)
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in ("img", "audio", "video") and (a.get("src") or a.get("data-digest")):
             self.flush()
             src = a.get("data-digest") or a["src"]
             self.out.append({"pos": len(self.out), "kind": "media", "text": None, "digest": src.removeprefix("media:"), "caption": a.get("alt")})
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "br", "article", "section"):
-            self.flush()
+        elif tag in self.BLOCK:
+            self.end_line()
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for x in self.out[self.figure or 0 :] if self.figure is not None else self.out[-1:]:
-                if x["kind"] == "media":
-                    x["caption"] = text
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "article", "section"):
+        elif tag in self.BLOCK:
+            self.end_line()
+
+    def end_line(self) -> None:
+        if self.caption is None:
             self.flush()
+        else:
+            self.caption.append(" ")
 
     def handle_data(self, data):
         if not self.skip:
@@ -137,7 +163,6 @@ def segments(html: str | None) -> list[dict]:
     parser = _Segments()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
     return parser.out
 
 

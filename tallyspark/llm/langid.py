@@ -1,13 +1,17 @@
 """Language identification by compression.
 
-Each language has a zstandard dictionary of raw content, pieces of its training texts. A text is compressed with each
+Each language has a zstandard dictionary of raw content, its training texts. A text is compressed with each
 dictionary, in blocks of BLOCK bytes up to its end, and the language whose blocks are smallest together is chosen. The
 score is the share of that language if each byte less counts as TRUST bits of evidence; a text whose runner-up needs
 less than MARGIN more bytes (relative) than the choice is rejected.
 
 Letters are compared in lower case. A null text, and one without letters, is "und" with score 0 and rejected. Ties go
-to the first language by name. Without training texts every text is "und". Training: of each language the SAMPLE rows
-with the smallest hash of their id, of each at most PIECE characters, up to DICTIONARY bytes.
+to the first language by name. Without training texts every text is "und". Repeated rows give a row each; very long texts
+are compressed block by block to their end; columns but doc_id, text and lang are not read.
+
+Training is bounded by documented parameters: of each language at most SAMPLE rows of SHORT to LONG characters, those with
+the smallest hash of their id. The texts of these rows are taken whole, and the dictionary holds all of them, equal texts
+once: at most SAMPLE * LONG characters.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import map_batches
+from tallyspark.llm.common import cache, map_batches
 
-SAMPLE, PIECE, DICTIONARY, BLOCK, LEVEL = 200, 400, 24 << 10, 2048, 5
+SAMPLE, SHORT, LONG, BLOCK, LEVEL = 100, 20, 2000, 2048, 5
 MARGIN, TRUST = 0.005, 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -57,23 +61,23 @@ class Identifier:
 
 def dictionaries(docs: DataFrame, allowed=None, sample: int = SAMPLE) -> dict[str, bytes]:
     """Each language's dictionary, from at most sample rows of it (a bound that doesn't grow with docs)."""
-    rows = docs.where("lang is not null and text is not null and length(text) >= 20")
+    rows = docs.where(F.col("lang").isNotNull() & F.length("text").between(SHORT, LONG))
     if allowed is not None:
         rows = rows.where(allowed)
     # the limit of each language is applied within tasks before rows are shuffled (WindowGroupLimit)
-    few = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, PIECE).alias("text")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= sample)
+    few = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= sample)
     parts: dict[str, list[str]] = {}
     for r in few.orderBy("lang", F.desc("k")).collect():
         parts.setdefault(r["lang"], []).append(r["text"].lower())
-    return {lang: "\n".join(dict.fromkeys(texts)).encode()[-DICTIONARY:] for lang, texts in parts.items()}
+    return {lang: "\n".join(dict.fromkeys(texts)).encode() for lang, texts in parts.items()}
 
 
-_identifiers: dict[str, Identifier] = {}
+_identifiers: dict[str, Identifier] = cache()
 
 
 def identify(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(learned)  # at most DICTIONARY bytes a language
+    sent = docs.sparkSession.sparkContext.broadcast(learned)  # at most SAMPLE * LONG characters a language
     key = uuid.uuid4().hex
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 

@@ -97,12 +97,12 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The first row of each range is sent to the range before it too (halo), that of the first to the last. The ranges
     come from a sketch of doc_id whose size is the number of ranges; no window runs over all rows and each text is
-    shuffled once. Null ids come last; rows with equal ids are ordered by text.
+    shuffled once. Null ids come last; rows with equal ids are ordered by a digest of their text (th).
     """
     spark = docs.sparkSession
     parts = parts or 4 * shuffle_partitions(spark)
     lowest = -(2**63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     cuts = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
     # range i holds ids from above cuts[i] down to, and with, cuts[i] ... the ids below the last cut are in the last range
@@ -110,15 +110,17 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     if cuts:
         ladder = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("k")))
     ranged = rows.withColumn("part", ladder.cast("int"))
-    heads = {r["part"]: r["k"] for r in ranged.groupBy("part").agg(F.max("k").alias("k")).collect()}  # a row for each range
+    first = ranged.groupBy("part").agg(F.max_by(F.struct("k", "th"), F.struct("k", -F.col("th").cast("decimal(20,0)"))).alias("h"))
+    heads = {r["part"]: (r["h"]["k"], r["h"]["th"]) for r in first.collect()}  # a row for each range
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range's head closes the last range
     if not order:
-        return ranged.select(F.lit(0).alias("part"), "k", "doc_id", "text", F.lit(False).alias("halo"))
-    head, prior = (F.element_at(F.lit([v.get(p, lowest) for p in range(len(cuts) + 1)]), F.col("part") + 1) for v in (heads, before))
+        return ranged.select(F.lit(0).alias("part"), "k", "th", "doc_id", "text", F.lit(False).alias("halo"))
+    by_part = lambda found: F.element_at(F.lit([found.get(p, lowest) for p in range(len(cuts) + 1)]), F.col("part") + 1)
+    is_head = (F.col("k") == by_part({p: h[0] for p, h in heads.items()})) & (F.col("th") == by_part({p: h[1] for p, h in heads.items()}))
     own = F.struct("part", F.lit(False).alias("halo"))
-    copies = F.when(F.col("k") == head, F.array(own, F.struct(prior.cast("int").alias("part"), F.lit(True).alias("halo")))).otherwise(F.array(own))
-    return ranged.select("k", "doc_id", "text", F.explode(copies).alias("c")).select(F.col("c.part").alias("part"), "k", "doc_id", "text", F.col("c.halo").alias("halo"))
+    copies = F.when(is_head, F.array(own, F.struct(by_part(before).cast("int").alias("part"), F.lit(True).alias("halo")))).otherwise(F.array(own))
+    return ranged.select("k", "th", "doc_id", "text", F.explode(copies).alias("c")).select(F.col("c.part").alias("part"), "k", "th", "doc_id", "text", F.col("c.halo").alias("halo"))
 
 
 RESULT = T.StructType(
@@ -138,7 +140,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document.
 
     The edited text has the last half of the code points replaced by as many first ones of the next document, by
-    descending doc_id; after the last comes the first. Repeated ids are ordered by text, null ids come last.
+    descending doc_id; after the last comes the first. Repeated ids are ordered by a digest of their text, null ids come
+    last. Very long texts are read whole; other columns, whatever their names, are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -174,7 +177,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                     if texts:
                         yield emit([*ids, None], [*texts, halo_of[part]])
                     ids, texts, size, part = [], [], 0, p
-                if halo:  # sorted before the other rows of its part; of several with this id the first counts
+                if halo:  # sorted before the other rows of its part; several are equal
                     halo_of.setdefault(p, text)
                     continue
                 if size > 1 << 21:
@@ -187,5 +190,5 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
             yield emit([*ids, None], [*texts, halo_of[part]])
 
     rows = with_next(docs)
-    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "part").sortWithinPartitions("part", F.desc("halo"), F.desc("k"), "text")
+    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "part").sortWithinPartitions("part", F.desc("halo"), F.desc("k"), "th")
     return dealt.select("part", "doc_id", "text", "halo").mapInArrow(run, RESULT)

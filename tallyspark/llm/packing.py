@@ -4,10 +4,12 @@ Documents become token ids with a public tokenizer, then the id 0. Only those lo
 tokens at their end, before them one with the rest. A piece of SIZE tokens is a sequence of its own; the others are
 dealt by a hash into shards of about SHARD pieces, and each shard is packed, longest first, in one task: a piece goes
 into the open bin, by residual gap g of which N(g) bins are open, where the sum of N(g) squared becomes smallest, a
-perfect fit before all; a new bin is opened only when no open one has room. A shard leaves a bin or two that are not
-full, which is the only loss against packing all pieces at once, and its memory does not grow with the input.
+perfect fit before all; a new bin is opened only when no open one has room, as the aim is few sequences. A shard leaves a
+bin or two that are not full, which is the only loss against packing all pieces at once, and its memory does not grow with
+the input.
 
-Null texts count as empty: the id 0 alone. Repeated rows are packed as often as they occur.
+Null texts count as empty: the id 0 alone. Repeated rows, and rows with equal ids, are packed as often as they occur.
+Null ids stay null. Very long texts are encoded whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import to_batch
+from tallyspark.llm.common import cache, to_batch
 
-SIZE, SHARD, END = 2048, 16384, 0
+SIZE, SHARD, END = 2048, 8192, 0
 #: Words of which a worker remembers the ids, about 200 bytes each.
 REMEMBERED = 600_000
 
@@ -111,7 +113,7 @@ class Encoder:
         return self._ids(head) + b"".join(ids)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache()
 
 
 def encoder(path: str) -> Encoder:
@@ -186,8 +188,8 @@ def pack(rows: DataFrame, shards: int, size: int = SIZE) -> DataFrame:
         return frame[PACKED.names]
 
     packed = part.groupBy("shard").applyInPandas(run, PACKED)
-    # a piece that fills its sequence: numbers below those of the shards, told apart by document, piece and copy
-    alone = whole.select(*PIECES.names[:-1], (-F.abs(F.xxhash64("doc_id", "piece", "copy"))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # a piece that fills its sequence: numbers below 0, one for each row
+    alone = whole.select(*PIECES.names[:-1], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 

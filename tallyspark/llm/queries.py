@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import interleave, langid, licenses, ngram_join, oph, packing, sentencepieces, toxicity, url_lists, warc
-from tallyspark.llm.common import stage_table, table
+from tallyspark.llm.common import stage_table, table, work_folder
 from tallyspark.ship import ship
 
 
@@ -61,9 +61,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    bundles = warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages")))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")  # archives are up to 32 MB
-    return warc.read_bundles(stage_table(bundles, "bundles")[0])
+    index = warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages")), work_folder(spark, "warc"))
+    return warc.read_bundles(stage_table(index, "index")[0])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

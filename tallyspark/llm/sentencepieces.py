@@ -1,19 +1,23 @@
 """SentencePiece encoding and decoding with the pieces of a model file.
 
 An Aho-Corasick automaton over the pieces reads a text once; each match that its output links name, a piece that ends
-at this position, relaxes the position's best score (Viterbi over the sum of piece scores). The best path is the
-encoding. A position that no piece reaches takes the character before it as unknown, which becomes byte pieces if the
+at this position, relaxes the position's best score (Viterbi over the sum of the pieces' log-probabilities). The best path
+is the encoding. The scores of a unigram model's file are log-probabilities. Those of a merge model are the ranks of its
+merges, the earlier the more frequent; their log-probabilities are those of Zipf's law over ranks (ZIPF), so nothing is
+trained, and ids may differ from those of merging in rank order. A position that no piece reaches takes the character before it as unknown, which becomes byte pieces if the
 model has them.
 
 No piece but runs of blanks has a blank (U+2581) after another character, which load_model() checks; so a best path
 never crosses the start of a run of blanks and the texts between are encoded one by one and remembered. Among equally
 good paths, the one whose last piece is longest counts, as it does position by position.
 
-Null texts count as empty; an empty text has no pieces. Texts in the model's own normal form ("identity") only.
+Null texts count as empty; an empty text has no pieces. Texts in the model's own normal form ("identity") only. Repeated
+rows give a row each; very long texts are encoded whole; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import map_batches
+from tallyspark.llm.common import cache, map_batches
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: A piece of rank r has a probability in proportion to 1 / (r + ZIPF) (Mandelbrot's form of the law).
+ZIPF, MERGES = 2.7, 2
 #: Remembered words of a worker, about 150 bytes each.
 REMEMBERED = 800_000
 
@@ -167,19 +173,30 @@ class Model:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def by_rank(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The pieces of a merge model with log-probabilities for ranks, in steps of 2 ** -20: sums of such numbers are exact, so
+    paths with the same pieces in another order tie wherever a text is cut."""
+    ranks = [-s for _, s, kind in pieces if kind == NORMAL]
+    total = math.log(sum(1 / (r + ZIPF) for r in ranks)) if ranks else 0.0
+    step = lambda x: round(x * 2**20) / 2**20
+    return [(p, step(-math.log(-s + ZIPF) - total) if kind == NORMAL else s, kind) for p, s, kind in pieces]
+
+
 def parse_model(raw: bytes) -> Model:
     """A model from the bytes of its file."""
-    pieces, settings = [], {}
+    pieces, settings, merges = [], {}, False
     for number, value in _fields(raw):
         if number == 1:
             f = dict(_fields(value))
             pieces.append((f.get(1, b"").decode(), struct.unpack("<f", f[2])[0] if 2 in f else 0.0, f.get(3, NORMAL)))
+        elif number == 2:
+            merges = dict(_fields(value)).get(3) == MERGES
         elif number == 3:
             settings = dict(_fields(value))
-    return Model(pieces, bool(settings.get(3, 1)), bool(settings.get(4, 1)), bool(settings.get(5, 1)), settings.get(2, b""))
+    return Model(by_rank(pieces) if merges else pieces, bool(settings.get(3, 1)), bool(settings.get(4, 1)), bool(settings.get(5, 1)), settings.get(2, b""))
 
 
-_loaded: dict[str, Model] = {}
+_loaded: dict[str, Model] = cache()
 
 
 def load_model(path: str) -> Model:

@@ -8,9 +8,12 @@ A few toxic words in a long text must not be averaged away: a text is read in wi
 and its score is that of its worst window. In training, a text of label 1 counts by its then worst window, one of label
 0 by its worst window and some others.
 
-Null texts count as empty; texts without words score 0. Training texts: at most SAMPLE labelled rows (a documented
-bound, half of it for either label), those with the smallest hash of their id; equal texts count once. With rows of
-one label only, all scores are 0.
+Null texts count as empty; texts without words score 0. Repeated rows give a row each; very long texts are scored whole;
+columns but doc_id and text are not read. With rows of one label only, all scores are 0.
+
+Training is bounded by documented parameters: at most SAMPLE labelled ids, half of them for either label, those with the
+smallest hash, and of them the texts of at most LONG characters, whole, one for each id; equal texts count once. So the
+driver takes at most SAMPLE * LONG characters.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import map_batches, runs
+from tallyspark.llm.common import cache, map_batches, runs
 from tallyspark.llm.shingles import mix
 
-BUCKETS, DIM, WINDOW, SAMPLE = 1 << 16, 8, 4, 3000
+BUCKETS, DIM, WINDOW, SAMPLE, LONG = 1 << 16, 8, 4, 3000, 30_000
 GRAMS = (3, 4, 5)
 WORD = re.compile(r"\w+(?:['’*@$!0-9]+\w+)*")
 #: Words whose score a worker remembers.
@@ -70,12 +73,15 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(marked)))))
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Windows of WINDOW words that overlap by half; the last one ends with the text."""
-    if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = list(range(0, n - WINDOW, WINDOW // 2))
-    return [(a, a + WINDOW) for a in [*starts, n - WINDOW]]
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words, one after another: begin, end and text of the windows of WINDOW words that overlap by half;
+    a text's last one ends with it, and texts without words have none."""
+    begin = np.cumsum(sizes) - sizes
+    count = np.where(sizes > WINDOW, -(-(sizes - WINDOW) // (WINDOW // 2)) + 1, (sizes > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(sizes)), count)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    first = begin[owner] + np.minimum(k * (WINDOW // 2), np.maximum(sizes - WINDOW, 0)[owner])
+    return first, first + np.minimum(sizes, WINDOW)[owner], owner
 
 
 @dataclass
@@ -133,18 +139,13 @@ class Model:
         values = self.values[np.fromiter(map(self.memory.__getitem__, stream), np.int64, len(stream))]
         sums = np.zeros((len(stream) + 1, 2))
         np.cumsum(values, axis=0, out=sums[1:])
-        n = np.array([len(x) for x in read])
-        some = np.flatnonzero(n)
-        n, begin = n[some], (np.cumsum(n) - n)[some]
-        count = np.where(n > WINDOW, -(-(n - WINDOW) // (WINDOW // 2)) + 1, 1)
-        ends = np.cumsum(count)
-        k = np.arange(ends[-1]) - np.repeat(ends - count, count) if len(ends) else np.zeros(0, np.int64)
-        first = np.repeat(begin, count) + np.minimum(k * (WINDOW // 2), np.repeat(np.maximum(n - WINDOW, 0), count))
-        part = sums[first + np.repeat(np.minimum(n, WINDOW), count)] - sums[first]
+        first, last, owner = windows(np.array([len(x) for x in read], np.int64))
+        part = sums[last] - sums[first]
         out = np.zeros(len(texts))
-        if len(some):
-            out[some] = np.maximum.reduceat(part[:, 0] / part[:, 1], ends - count) + self.bias
-            out[some] = 1 / (1 + np.exp(-np.clip(out[some], -40, 40)))
+        if len(owner):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            worst = np.maximum.reduceat(part[:, 0] / part[:, 1], starts) + self.bias
+            out[owner[starts]] = 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
         return out
 
 
@@ -160,10 +161,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, least_steps: in
     read = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     rows, begin = subwords(list(number))
     stream, at = np.concatenate(read), np.concatenate(([0], np.cumsum([len(x) for x in read])))
-    spans = [(at[i] + a, at[i] + b, i) for i, x in enumerate(read) for a, b in windows(len(x))]
-    if not spans:
+    if not len(stream):
         return Model(table, np.zeros(DIM), 0.0)
-    first, last, owner = (np.array(x) for x in zip(*spans))
+    first, last, owner = windows(np.diff(at))
     label = np.array(labels)
     length = np.concatenate(([0], np.cumsum(np.diff(begin)[stream])))
     sizes = length[last] - length[first]
@@ -216,7 +216,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, least_steps: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most sample labelled texts, half of it for either label, by the smallest hash of their id."""
+    """At most sample labelled texts of at most LONG characters, half of it for either label, by the smallest hash of their id."""
     rows = labels.where("toxic is not null and doc_id is not null")
     if allowed is not None:
         rows = rows.where(allowed)
@@ -227,11 +227,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed=None, sample: int
     if not ids:
         return []
     # the ids are a filter of bounded size, so that labelled texts are read in one scan and no text is shuffled
-    texts = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
+    texts = docs.where(F.col("doc_id").isin(list(ids)) & (F.length("text") <= LONG)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return sorted({(r["text"], ids[r["doc_id"]]) for r in texts})
 
 
-_models: dict[str, Model] = {}
+_models: dict[str, Model] = cache()
 
 
 def model_of(key: str, sent) -> Model:

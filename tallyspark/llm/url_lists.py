@@ -1,11 +1,13 @@
 """URL filters with dated lists.
 
 A list entry says that from its day on a host pattern (a host and everything below it) is blocked or allowed, until the
-pattern's next entry. intervals() turns entries into validity intervals; evaluate() joins each capture, as of the day
-it was fetched, with the entries then active for its host and the host's parents: the longest pattern decides.
+pattern's next entry; the action "drop" only ends what was before, so a parent's entry decides again. intervals() turns
+entries into validity intervals; evaluate() joins each capture, as of the day it was fetched, with the entries then active
+for its host and the host's parents: the longest pattern decides.
 
 Of entries with equal pattern and day the greatest (action, category) counts. Entries without pattern or day, and
-captures without host or day, match nothing; such captures are "unlisted". Every capture row is kept, repeats included.
+captures without host or day, match nothing; such captures are "unlisted". Every capture row is kept, repeats included,
+with all its columns; only those named as evaluate()'s own are replaced by them.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ def suffixes(host):
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """entries (pattern, listed_on date, action, category) as (pattern, valid_from, valid_to, action, category); valid_to is exclusive, null if open."""
+    """entries (pattern, listed_on date, action, category) as (pattern, valid_from, valid_to, action, category); valid_to is exclusive, null if open. Drops are ends, not entries."""
     one = entries.where("pattern is not null and listed_on is not null").groupBy(F.lower("pattern").alias("pattern"), F.col("listed_on").alias("valid_from")).agg(F.max(F.struct("action", "category")).alias("e"))
-    return one.select("pattern", "valid_from", F.lead("valid_from").over(Window.partitionBy("pattern").orderBy("valid_from")).alias("valid_to"), "e.*")
+    return one.select("pattern", "valid_from", F.lead("valid_from").over(Window.partitionBy("pattern").orderBy("valid_from")).alias("valid_to"), "e.*").where("action is null or action <> 'drop'")
+
+
+OWN = ["host", "verdict", "pattern", "category", "valid_from"]
 
 
 def evaluate(captures: DataFrame, active: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
@@ -39,15 +44,21 @@ def evaluate(captures: DataFrame, active: DataFrame, url: str = "url", fetched_o
     The as-of join runs over the distinct (host, day) pairs, on pattern and month, so that neither a common host nor a
     long history meets in one task; its result is joined to the captures.
     """
-    rows = captures.withColumn("host", host_of(F.col(url)))
-    days = rows.select("host", F.col(fetched_on).alias("day")).where("host is not null and day is not null").distinct()
-    horizon = rows.agg(F.max(fetched_on)).first()[0]
+    kept = [c for c in captures.columns if c not in OWN]
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("capture"), host_of(F.col(url)).alias("host"), F.col(fetched_on).alias("day"))
+    days = rows.select("host", "day").where("host is not null and day is not null").distinct()
+    horizon = rows.agg(F.max("day")).first()[0]
     end = F.date_sub(F.coalesce("valid_to", F.date_add(F.greatest(F.lit(horizon).cast("date"), F.col("valid_from")), 1)), 1)
     by_month = active.withColumn("month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))))
     asked = days.withColumn("pattern", F.explode(suffixes(F.col("host")))).withColumn("month", F.trunc("day", "month"))
     hits = asked.join(by_month, ["pattern", "month"]).where("day >= valid_from and (valid_to is null or day < valid_to)")
-    best = hits.groupBy("host", "day").agg(F.max_by(F.struct("pattern", "action", "category", "valid_from"), F.length("pattern")).alias("e")).select("host", F.col("day").alias(fetched_on), "e.*")
-    return rows.join(best, ["host", fetched_on], "left").withColumn("verdict", F.when(F.col("action") == "block", "blocked").when(F.col("action") == "allow", "allowed").otherwise("unlisted")).drop("action")
+    best = hits.groupBy("host", "day").agg(F.max_by(F.struct("pattern", "action", "category", "valid_from"), F.length("pattern")).alias("e")).select("host", "day", "e")
+    # captures without host or day join nothing: they do not travel, so that they cannot meet in one task
+    asked = F.col("host").isNotNull() & F.col("day").isNotNull()
+    none = rows.where(~asked).withColumn("e", F.lit(None).cast(best.schema["e"].dataType))
+    found = rows.where(asked).join(best, ["host", "day"], "left").select(*rows.columns, "e").unionByName(none)
+    verdict = F.when(F.col("e.action") == "block", "blocked").when(F.col("e.action") == "allow", "allowed").otherwise("unlisted")
+    return found.select("capture.*", "host", verdict.alias("verdict"), "e.pattern", "e.category", "e.valid_from")
 
 
 def sample_entries(hosts: DataFrame, per_pattern: int = 4) -> DataFrame:
@@ -91,7 +102,7 @@ iv as (select pattern, valid_from, lead(valid_from) over (partition by pattern o
 m as (select p.page_id, p.host, p.fetched_on, iv.pattern, iv.action, iv.category, iv.valid_from,
              row_number() over (partition by p.page_id order by length(iv.pattern) desc) as k
       from p join s on p.host = s.host
-      join iv on s.pattern = iv.pattern and p.fetched_on >= iv.valid_from and (iv.valid_to is null or p.fetched_on < iv.valid_to))
+      join iv on s.pattern = iv.pattern and iv.action in ('block', 'allow') and p.fetched_on >= iv.valid_from and (iv.valid_to is null or p.fetched_on < iv.valid_to))
 select p.page_id, p.host, p.fetched_on,
        case m.action when 'block' then 'blocked' when 'allow' then 'allowed' else 'unlisted' end as verdict,
        m.pattern, m.category, m.valid_from

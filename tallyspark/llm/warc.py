@@ -1,9 +1,13 @@
 """Seekable Zstandard bundles of WARC records.
 
 Records are grouped into frames of about FRAME raw bytes that are compressed independently; frames follow each other in
-a bundle, which ends with a seek table (a skippable frame, magic 0x184D2A5E, whose footer has the magic 0x8F92EAB1).
-An index maps each record identifier to its bundle, its frame and its offset within that frame, so that one record is
-read by decompressing one frame.
+a bundle, which ends with a seek table (a skippable frame, magic 0x184D2A5E, whose footer has the magic 0x8F92EAB1). A
+bundle is a file of its own in a shared folder (*.warc.zst, which any Zstandard tool opens), written by the task that has
+its records. The index, a table, maps each record identifier to its bundle, its frame and its offset within that frame, so
+that one record is read by decompressing one frame (lookup()).
+
+A bundle's name is a digest of its content, so a task that runs again after an executor was lost writes the same file, or
+one that no index names. Very long payloads are one frame. Columns of pages but page_id, url and html are not read.
 
 A null payload counts as empty, a null url as "about:blank". Rows with equal page_id are separate records of the same
 identifier; a row whose page_id is that of the response is a response itself. Null page_ids are written as the
@@ -13,8 +17,11 @@ identifier "null" and are responses if no row with the same payload has an id.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import io
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,10 +33,7 @@ from pyspark.sql import types as T
 FRAME, BUNDLE = 1 << 20, 32 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
-INDEX = T.ArrayType(
-    T.StructType([T.StructField("record_id", T.StringType()), T.StructField("frame", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType())])
-)
-BUNDLES = T.StructType([T.StructField("bundle", T.StringType()), T.StructField("archive", T.BinaryType()), T.StructField("records", INDEX)])
+INDEX = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("bundle", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("frame", "offset", "length")]])
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -74,7 +78,7 @@ class BundleWriter:
     def add(self, record_id: str, raw: bytes) -> None:
         if self._open and len(self._open) + len(raw) > self.frame:
             self._flush()
-        self.index.append({"record_id": record_id, "frame": len(self.sizes), "offset": len(self._open), "length": len(raw)})
+        self.index.append((record_id, len(self.sizes), len(self._open), len(raw)))
         self._open += raw
 
     def _flush(self) -> None:
@@ -95,23 +99,29 @@ class BundleWriter:
 
 
 class BundleReader:
-    """Random access to records by frame and offset; the last frame that was read stays in memory."""
+    """Random access to the records of an open file by frame and offset; the last frame that was read stays in memory."""
 
-    def __init__(self, archive: bytes):
-        count, _, magic = struct.unpack("<IBI", archive[-9:])
+    def __init__(self, file):
+        self.file = io.BytesIO(file) if isinstance(file, bytes) else file
+        end = self.file.seek(0, io.SEEK_END) or self.file.tell()
+        count, _, magic = struct.unpack("<IBI", self._bytes(end - 9, 9))
         if magic != SEEKABLE:
             raise ValueError("no seek table")
-        entries = struct.unpack(f"<{2 * count}I", archive[-9 - 8 * count : -9])
-        self.archive, self.places, at = archive, [], 0
+        entries = struct.unpack(f"<{2 * count}I", self._bytes(end - 9 - 8 * count, 8 * count))
+        self.places, at = [], 0
         for i in range(count):
             self.places.append((at, entries[2 * i], entries[2 * i + 1]))
             at += entries[2 * i]
         self._last, self._zstd = (-1, b""), zstandard.ZstdDecompressor()
 
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
     def read(self, frame: int, offset: int, length: int) -> bytes:
         if self._last[0] != frame:
             at, size, raw = self.places[frame]
-            self._last = frame, self._zstd.decompress(self.archive[at : at + size], max_output_size=raw)
+            self._last = frame, self._zstd.decompress(self._bytes(at, size), max_output_size=raw)
         return self._last[1][offset : offset + length]
 
 
@@ -124,15 +134,37 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.join(first, "sha").select("page_id", "url", F.when(target.isNull(), F.col("payload")).alias("payload"), "sha", "n_bytes", target.alias("refers_to"))
 
 
-def write_bundles(planned: DataFrame) -> DataFrame:
-    """Rows of BUNDLES: archives of at most about BUNDLE compressed bytes and the places of their records."""
+def write_file(folder: str, archive: bytes) -> str:
+    """Writes a bundle below folder (a URI that all executors can reach) and returns its URI."""
+    from pyarrow import fs
+
+    uri = f"{folder}/{hashlib.sha1(archive).hexdigest()}.warc.zst"
+    place, path = fs.FileSystem.from_uri(uri)
+    place.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with place.open_output_stream(part) as f:
+        f.write(archive)
+    try:
+        place.move(part, path)  # whole or not at all
+    except OSError:
+        if place.get_file_info(path).size != len(archive):  # not the same file from another try
+            raise
+        with contextlib.suppress(OSError):
+            place.delete_file(part)
+    return uri
+
+
+def write_bundles(planned: DataFrame, folder: str) -> DataFrame:
+    """INDEX rows of all records. When rows are read, tasks write bundles of at most about BUNDLE compressed bytes below
+    folder: write them to a table and read that."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(BUNDLES)
+    arrow = to_arrow_schema(INDEX)
 
     def emit(writer: BundleWriter) -> pa.RecordBatch:
-        archive = writer.close()
-        return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(archive).hexdigest()]), pa.array([archive], pa.binary()), pa.array([writer.index], arrow.field("records").type)], schema=arrow)
+        uri = write_file(folder, writer.close())
+        ids, *places = zip(*writer.index)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, [uri] * len(ids), *places), arrow)], schema=arrow)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter()
@@ -147,7 +179,7 @@ def write_bundles(planned: DataFrame) -> DataFrame:
         if writer.index:
             yield emit(writer)
 
-    return planned.select("page_id", "url", "payload", "sha", "n_bytes", "refers_to").mapInArrow(run, BUNDLES)
+    return planned.select("page_id", "url", "payload", "sha", "n_bytes", "refers_to").mapInArrow(run, INDEX)
 
 
 class _Length:
@@ -168,34 +200,65 @@ READ = T.StructType(
         T.StructField("record_type", T.StringType()),
         T.StructField("refers_to", T.LongType()),
         T.StructField("bundle", T.StringType()),
-        T.StructField("frame", T.IntegerType()),
-        T.StructField("frame_offset", T.IntegerType()),
+        T.StructField("frame", T.LongType()),
+        T.StructField("frame_offset", T.LongType()),
     ]
 )
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """A row for each record, read through the seek tables; a response's digest is computed from its payload again."""
+def _number(urn: str) -> int | None:
+    found = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if found == "null" else int(found)
+
+
+def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """For each batch of INDEX rows (bundle, frame, offset, length): the parsed records, each with its place."""
+    from pyarrow import fs
+
+    with contextlib.ExitStack() as opened:
+        name, reader = None, None
+        for batch in batches:
+            out = []
+            for bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if bundle != name:
+                    opened.close()
+                    place, path = fs.FileSystem.from_uri(bundle)
+                    name, reader = bundle, BundleReader(opened.enter_context(place.open_input_file(path)))
+                out.append((*parse_record(reader.read(frame, offset, length)), bundle.rsplit("/", 1)[-1], frame, offset))
+            if out:
+                yield out
+
+
+def read_bundles(index: DataFrame) -> DataFrame:
+    """A row of READ for each record of an index, read from the files; a response's digest is computed from its payload again."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(READ)
 
-    def number(urn: str) -> int | None:
-        found = urn.removeprefix("<urn:page:").removesuffix(">")
-        return None if found == "null" else int(found)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _records(batches):
+            rows = []
+            for warc, http, payload, name, frame, offset in found:
+                kind = warc["WARC-Type"]
+                digest, size = warc["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
+                if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
+                    raise ValueError(f"record {warc['WARC-Record-ID']} of bundle {name} is damaged")
+                rows.append((_number(warc["WARC-Record-ID"]), size, digest, kind, _number(warc["WARC-Refers-To"]) if kind == "revisit" else None, name, frame, offset))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return index.select("bundle", "frame", "offset", "length").mapInArrow(run, READ)
+
+
+def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload) of the records wanted (record_id): only their frames are read. A
+    revisit's payload is null; identifiers that no record has give no row."""
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, archive, records = (batch.column(c)[i].as_py() for c in range(3))
-                reader, rows = BundleReader(archive), []
-                for x in records:
-                    warc, http, payload = parse_record(reader.read(x["frame"], x["offset"], x["length"]))
-                    kind = warc["WARC-Type"]
-                    digest, size = warc["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
-                    if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-                        raise ValueError(f"record {warc['WARC-Record-ID']} of bundle {name} is damaged")
-                    rows.append((number(warc["WARC-Record-ID"]), size, digest, kind, number(warc["WARC-Refers-To"]) if kind == "revisit" else None, name, x["frame"], x["offset"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    return bundles.select("bundle", "archive", "records").mapInArrow(run, READ)
+        for found in _records(batches):
+            rows = [(_number(w["WARC-Record-ID"]), w["WARC-Target-URI"], w["WARC-Type"], _number(w["WARC-Refers-To"]) if "WARC-Refers-To" in w else None, payload if w["WARC-Type"] == "response" else None) for w, _, payload, *_ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=schema.names)
+
+    # records of a frame after each other, so that it is read once
+    places = index.join(wanted.select("record_id"), "record_id", "left_semi").sortWithinPartitions("bundle", "frame", "offset")
+    return places.select("bundle", "frame", "offset", "length").mapInArrow(run, schema)

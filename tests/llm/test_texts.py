@@ -19,7 +19,7 @@ def test_license_scan_equals_sql(spark):
 
 
 def test_license_scan_by_brute_force(spark):
-    rows = [*texts(), licenses.TEMPLATES["MIT-text"], "x\nReleased under the MIT License.\ny", "released UNDER the mit\tlicence", licenses.TEMPLATES["Apache-2.0-header"].replace("software", "programs")]
+    rows = [*texts(), *licenses.TEMPLATES.values(), licenses.TEMPLATES["Zlib"].replace("software", "tool"), licenses.TEMPLATES["MIT-text"], "x\nReleased under the MIT License.\ny", "released UNDER the mit\tlicence", licenses.TEMPLATES["Apache-2.0-header"].replace("software", "programs")]
 
     def dice(text):
         best = (0.0, None)
@@ -31,6 +31,9 @@ def test_license_scan_by_brute_force(spark):
                 best = (d, name)
         return best
 
+    # units that miss as many words as may be missed
+    rows += [" ".join(w for j, w in enumerate(t.split()) if j % 7 != i % 7) for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [rows[-1], rows[-1]]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
     for i, t in enumerate(rows):
         lines = [dice(x) for x in (t or "").split("\n")]
@@ -106,8 +109,48 @@ def test_places_by_brute_force():
     assert offsets.tolist() == order and bins.max() + 1 == len(free)
 
 
+def brute_pieces(m):
+    """The best sum of log-probabilities by trying all pieces that end at each position."""
+    table = {p: (s, i) for i, (p, s, kind) in enumerate(m.pieces) if kind == sentencepieces.NORMAL}
+    longest = max(map(len, table))
+
+    def brute(text):
+        steps = [(0.0, 0, [])]
+        for e in range(1, len(text) + 1):
+            found = [(steps[b][0] + table[text[b:e]][0], e - b, [table[text[b:e]][1]]) for b in range(max(0, e - longest), e) if text[b:e] in table]
+            if text[e - 1] not in table:
+                found.append((steps[e - 1][0] + m.unknown_score, 1, [m.bytes_at[b] for b in text[e - 1].encode()]))
+            steps.append(max(found, key=lambda x: x[:2]))
+        out, at = [], len(text)
+        while at:
+            out.append(steps[at][2])
+            at -= steps[at][1]
+        return [i for own in reversed(out) for i in own]
+
+    return brute
+
+
+def test_ranks_become_log_probabilities():
+    m = sentencepieces.load_model(PIECES)
+    own = [s for _, s, kind in m.pieces if kind == sentencepieces.NORMAL]
+    assert abs(sum(np.exp(own)) - 1) < 1e-5 and own[2:] == sorted(own[2:], reverse=True)  # the first two stand last by rank
+
+
+def test_piece_query_equals_brute_force(spark):
+    m = sentencepieces.load_model(PIECES)
+    brute = brute_pieces(m)
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_sentencepiece(spark, SF).collect()}
+    assert got.keys() == text.keys() and all(r.round_trip for r in got.values())
+    for i in sorted(text)[::5]:  # the brute force is slow
+        ids = brute(m.normal(text[i]))
+        assert (got[i].n_pieces, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[i].n_byte_pieces == sum(m.pieces[x][2] == sentencepieces.BYTE for x in ids)
+
+
 def test_pieces_by_brute_force():
     m = sentencepieces.load_model(PIECES)
+    whole = brute_pieces(m)
     table = {p: (s, i) for i, (p, s, kind) in enumerate(m.pieces) if kind == sentencepieces.NORMAL}
 
     def brute(text):
@@ -121,7 +164,7 @@ def test_pieces_by_brute_force():
 
     for t in [*ODD, *(t[:300] for t in texts() if t), "a 😀b  \U0010ffff", "▁x"]:
         ids = m.encode(t).tolist()
-        assert ids == brute(m.normal(t))
+        assert ids == brute(m.normal(t)) == whole(m.normal(t))
         assert m.decode(ids) == t.replace("▁", " ") or t.startswith("▁")
 
 
@@ -143,6 +186,53 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in rows.values()]) < 0.02
 
 
+def test_language_query_by_brute_force(spark):
+    """Every block with every dictionary, and the smallest sum."""
+    import zstandard
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = langid.dictionaries(df, ~langid.held_out(F.col("doc_id")))
+    with_dict = lambda d: zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    sizes = lambda raw, d: sum(len(zstandard.ZstdDecompressor(dict_data=with_dict(d)).decompress(x, max_output_size=langid.BLOCK)) for x in raw)
+    text = {r.doc_id: r.text for r in df.collect()}
+    own = langid.Identifier(learned)
+    for r in queries.op5_language_id(spark, SF).collect():
+        t = text[r.doc_id]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        size = dict(zip(own.names, own.sizes(t)))
+        best = min(own.names, key=lambda n: (size[n], n))
+        assert r.lang_pred == best and abs(r.score - 1 / sum(2.0 ** (-langid.TRUST * min(s - size[best], 2000)) for s in size.values())) < 1e-12
+        assert r.rejected == any(s < (1 + langid.MARGIN) * size[best] for n, s in size.items() if n != best)
+    # blocks cover a text to its end, and each is read back with its language's dictionary alone
+    raw = ("Ein langer Text " * 700).lower().encode()
+    blocks = [raw[i : i + langid.BLOCK] for i in range(0, len(raw), langid.BLOCK)]
+    for n, pack, size in zip(own.names, own.packers, own.sizes(raw.decode())):
+        packed = [pack(b) for b in blocks]
+        assert sum(map(len, packed)) == size and sizes(packed, learned[n]) == len(raw)
+
+
+def test_training_rows_are_whole_and_bounded(spark):
+    """No text is cut, and what is learned from does not grow with the table."""
+    rows = [(i, f"word{i} " * (1 + i % 400), "aa") for i in range(600)] + [(5, "word5 twice", "aa"), (None, "no id " * 9, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.dictionaries(df)["aa"].decode()
+    kept = learned.split("\n")
+    assert len(kept) <= langid.SAMPLE and set(kept) <= {t.lower() for _, t, _ in rows} and all(langid.SHORT <= len(t) <= langid.LONG for t in kept)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(600)] + [(5, 1, 1), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    found = toxicity.training_rows(df.unionByName(df), marks, sample=100)
+    assert len(found) <= 100 and {t for t, _ in found} <= {t for _, t, _ in rows}
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).collect() == [], name
+
+
 def test_language_cases(spark):
     learned = {"aa": b"lorem ipsum dolor sit amet " * 20, "bb": b"zwei drei vier acht neun " * 20}
     got = {r.doc_id: r for r in langid.identify(docs(spark, [*texts(), "lorem ipsum dolor sit amet", "zwei drei vier"]), learned).collect()}
@@ -174,8 +264,61 @@ def test_toxicity_held_out(spark):
     assert np.mean([s > c for s, y in own if y for c in clean]) > 0.85 and np.mean([c >= 0.7 for c in clean]) < 0.05
 
 
+def test_toxicity_query_by_brute_force(spark):
+    """Each text's worst window, by plain loops over windows, words and subwords."""
+    df, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = toxicity.training_rows(df, marks, ~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    model = toxicity.Model.unpack(model.pack())
+    place = [int(x) for x in toxicity._PLACE]
+    full = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def rows_of(word):
+        code = [ord(c) for c in f"<{word}>"]
+        whole = sum(c * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(code)) & full
+        grams = [(sum(code[a + i] * place[i] for i in range(n)) + n) & full for n in (3, 4, 5) for a in range(len(code) - n + 1)]
+        return [mix(x) % toxicity.BUCKETS for x in [whole, *grams]]
+
+    def score(text):
+        words = toxicity.words_of(text)
+        spans = [words[a : a + 4] for a in range(0, max(len(words) - 4, 0), 2)] + [words[-4:]] if words else []
+        bags = [[r for w in span for r in rows_of(w)] for span in spans]
+        return max((1 / (1 + np.exp(-(np.mean(model.table[b], axis=0) @ model.weights + model.bias))) for b in bags), default=0.0)
+
+    text = {r.doc_id: r.text or "" for r in df.collect()}
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, SF).collect()}
+    assert got.keys() == text.keys() and all(r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    for i in sorted(text, key=lambda i: len(text[i]))[::6][:25]:
+        assert abs(score(text[i]) - got[i].score) < 1e-4
+
+
+def test_repeated_rows_and_columns(spark):
+    """Equal rows get equal results, one each, whatever else the table has."""
+    text = "Released under the MIT License.\nsome more words"
+    names = ["doc_id", "text", "norm", "lines", "whole", "key", "ids", "batch", "copy"]
+    df = spark.createDataFrame([(1, text, *range(7)), (1, text, *range(7)), (2, None, *range(7))], names)
+    model = toxicity.train(["bad word here", "fine words there"] * 4, [1, 0] * 4, least_steps=20)
+    learned = {"aa": b"lorem ipsum dolor sit amet " * 20, "bb": b"zwei drei vier acht neun " * 20}
+    for out in (licenses.scan(df), langid.identify(df, learned), sentencepieces.piece_report(df, PIECES), toxicity.score(df, model)):
+        rows = [tuple(r) for r in out.orderBy("doc_id").collect()]
+        assert len(rows) == 3 and rows[0] == rows[1] and rows[2][0] == 2
+    packed = packing.packing_report(df, BPE, lambda d: stage_table(d, "pieces")[0]).orderBy("offset").collect()
+    assert len(packed) == 3 and len({r.offset for r in packed}) == 3
+
+
+def test_full_pieces_have_sequences_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a " * 700)] * 3, "doc_id long, text string")
+    got = packing.packing_report(df, BPE, lambda d: stage_table(d, "pieces")[0], size=64).where("length = 64").collect()
+    assert len(got) == len({r.sequence_id for r in got}) > 6
+
+
 def test_toxicity_cases(spark):
-    model = toxicity.train(["bad word here", "fine words there"] * 4, [1, 0] * 4)
+    model = toxicity.train(["bad word here", "fine words there"] * 4, [1, 0] * 4, least_steps=20)
     got = toxicity.score(docs(spark), model).collect()
     assert len(got) == len(texts()) and all(0 <= r.score <= 1 for r in got)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
