@@ -78,10 +78,11 @@ def test_join_equals_brute_force(spark):
     assert ngram_join.link_components(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("rare, percent", [(1, 85), (1, 80), (64, 85)])
-def test_join_of_edited_copies(spark, monkeypatch, rare, percent):
+@pytest.mark.parametrize("rare, percent, crowd", [(1, 85, 3), (1, 80, 64), (64, 85, 3)])
+def test_join_of_edited_copies(spark, monkeypatch, rare, percent, crowd):
     """Groups of near copies around the threshold, a passage in many texts, and frequent tokens that need pairs."""
     monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "AGREED", 9 if rare == 1 else 4)  # without stars all links come from the index
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(70)]
@@ -100,11 +101,72 @@ def test_join_of_edited_copies(spark, monkeypatch, rare, percent):
     assert joined(df, 4, percent) == want(rows, 4, percent)
 
 
+def pool(texts, shared, keep, seed=4):
+    """Texts drawn from one pool of shingles: alike, but (but for a few) not as much as the threshold asks for."""
+    rng = np.random.default_rng(seed)
+    rows = [" ".join(f"a{j} b{j} c{j} d{j}" for j in np.flatnonzero(rng.random(shared) < keep)) for _ in range(texts)]
+    return rows + [rows[0] + " x y z", rows[1] + " u v"]
+
+
+def test_crowded_signatures_meet_once(spark, monkeypatch):
+    """In a pool of alike texts few pairs meet more than once, and none of those that link is lost."""
+    made = []
+    whole = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *args: made.append(whole(*args).count()) or whole(*args))
+    monkeypatch.setattr(ngram_join, "CROWD", 16)
+    rows = list(enumerate(pool(120, 150, 0.93)))
+    assert joined(docs(spark, [t for _, t in rows])) == want(rows)
+    assert made[0] <= 122
+
+
+@pytest.mark.parametrize("groups, fan", [(False, 2), (True, 3), (True, 512)])
+def test_frequencies_over_hops(spark, monkeypatch, groups, fan):
+    """Blocks learn what a count over all rows says, however many hops their tokens take."""
+    monkeypatch.setattr(ngram_join, "FAN", fan)
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 400, 60, dtype=np.uint64) * np.uint64(2**39 + 12345)) for _ in range(90)]
+    rows = spark.createDataFrame([(i, i % 40, bytearray(ngram_join.to_bytes(x))) for i, x in enumerate(sets)], "cid long, grp long, tokens binary")
+
+    def told(frame, tokens, count):
+        import pandas as pd
+
+        return pd.DataFrame([(c, bytes(ngram_join.to_bytes(ngram_join.from_bytes(t)[ngram_join.lookup(ngram_join.from_bytes(t), tokens, count, 0) > 1]))) for c, t in zip(frame["cid"], frame["tokens"])], columns=["cid", "shared"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("shared", T.BinaryType())])
+    got = {r.cid: set(ngram_join.from_bytes(bytes(r.shared)).tolist()) for r in ngram_join.with_frequencies(rows, 11, groups, told, schema).collect()}
+    owners = {}
+    for i, x in enumerate(sets):
+        for t in x.tolist():
+            owners.setdefault(t, set()).add(i % 40 if groups else i)
+    assert got == {i: {t for t in x.tolist() if len(owners[t]) > 1} for i, x in enumerate(sets)}
+
+
+def test_masks_tell_leaders(spark):
+    """Two entries of a signature without a common bit share none of its leaders, and each pair is kept apart or met."""
+    rng = np.random.default_rng(6)
+    sigs = {c: set(rng.choice(40, 12, replace=False).tolist()) for c in range(60)}
+    count = {s: sum(s in x for x in sigs.values()) for s in range(40)}
+    entries = spark.createDataFrame([(s, c, c, 50, 50, count[s]) for c, own in sigs.items() for s in own], "sig long, cid long, grp long, n long, cap long, m long")
+    sets = spark.createDataFrame([(c, 50, 0, bytearray(b""), *[0] * 16) for c in sigs], ngram_join.SETS)  # all are plausible
+    mask = {(r.sig, r.cid): r["mask"] for r in ngram_join.crowded(entries, sets).collect()}
+    assert len(mask) == sum(map(len, sigs.values()))
+    for a in sigs:
+        for b in range(a + 1, 60):
+            common = sigs[a] & sigs[b]
+            if common:
+                first = min(common, key=lambda s: (-count[s], s))
+                assert mask[first, a] & mask[first, b] == 0
+    found = ngram_join.candidates(entries.withColumn("m", entries.m + ngram_join.CROWD), sets, 85, ngram_join.stage_table)
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in sigs for b in range(a + 1, 60) if sigs[a] & sigs[b]}
+
+
 def test_prefixes_meet():
     """Any two sets that link share a signature, whatever frequencies say."""
     rng = np.random.default_rng(5)
-    for _ in range(150):
-        n = int(rng.integers(1, 260))
+    for k in range(200):
+        n = int(rng.integers(1, 260) if k < 150 else rng.integers(260, 1500))
         tokens = np.unique(rng.integers(0, 2**48, n + 80, dtype=np.uint64))
         count = rng.choice([2, 3, 50, 200, 5000], len(tokens))
         x = np.sort(rng.choice(len(tokens), min(n, len(tokens)), replace=False))
