@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs; all but the last keep the columns of documents, whatever those are. Rows with null or empty texts have no
-language and leave in the first stage. Rows with equal ids are separate documents until the third stage, where of rows
-with equal id and text one stays.
+language and leave in the first stage. Rows with equal ids are separate documents; of rows with equal id and text the third stage
+keeps one.
 """
 
 from __future__ import annotations
@@ -64,10 +64,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays; texts without words all stay."""
     small_batches(spark)
-    found, _ = stage_table(ngram_join.link_components(docs, WORDS, PERCENT).select("doc_id", "component_id"), "found")
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out if found.count() == found.distinct().count() else out.dropDuplicates(["doc_id", "text"])
+    return ngram_join.first_of_components(docs, WORDS, PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
