@@ -38,3 +38,17 @@ def test_copies_with_equal_ids_stay_once(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, text, "z"), (3, None, "n")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in P.one_of_near_copies(spark, df, SF).collect()) == [1, 3]
+
+
+def test_rows_with_equal_ids_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(7, text, 1), (9, text + " tail", 2), (9, "other text", 3), (None, text, 4), (None, None, 5)], "doc_id long, text string, kept_id int")
+    kept = P.one_of_near_copies(spark, df, SF)
+    assert kept.columns == df.columns and sorted(r.kept_id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_columns_of_any_name(spark):
+    names = ["key", "th", "row", "cid", "comp", "n", "a b", "x.y", "head"]
+    df = spark.createDataFrame([(1, "some text of seven words is here", *range(9)), (2, "some text of seven words is here", *range(9))], ["doc_id", "text", *names])
+    rows = P.one_of_near_copies(spark, df, SF).collect()
+    assert [tuple(r) for r in rows] == [(1, "some text of seven words is here", *range(9))]
