@@ -105,9 +105,9 @@ def recurring(ledger: DataFrame) -> DataFrame:
     """
     rows = spending(dated(ledger)).where("date is not null")
     days = rows.groupBy("counterparty", "date").agg(F.count("*").alias("n"))
-    gap = F.date_diff("date", F.lag("date").over(Window.partitionBy("counterparty").orderBy("date")))
+    days = days.withColumn("gap", F.date_diff("date", F.lag("date").over(Window.partitionBy("counterparty").orderBy("date"))))
     # a day's first payment follows the day before, the others follow it after no day
-    gaps = days.select("counterparty", F.explode(F.array(F.struct(gap.alias("gap"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("n")))).alias("g")).where("g.gap is not null and g.n > 0")
+    gaps = days.select("counterparty", F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("n")), F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("n")))).alias("g")).where("g.gap is not null and g.n > 0")
     median = gaps.groupBy("counterparty").agg(F.percentile("g.gap", 0.5, F.col("g.n")).alias("gap"))
     by = rows.groupBy("counterparty").agg(F.stddev_samp(F.col("x").cast("double")).alias("dev"), F.avg(F.col("x").cast("double")).alias("mean"), F.max("date").alias("last"), F.count("*").alias("count"))
     steady = by.join(median, "counterparty").where("(gap between 25 and 35 or gap between 6 and 8) and (dev is null or dev < 0.1 * mean) and count >= 2")

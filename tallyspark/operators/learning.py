@@ -3,7 +3,7 @@
 N-grams are those of 3 to 5 characters within words that have a blank at either side. Frequencies count as 1 + ln tf,
 documents as ln((1 + n) / (1 + df)) + 1; vectors have length 1; classes weigh the same.
 
-Probabilities are calibrated: rows fall into FOLDS parts by a hash; for each part a regression is trained on the others,
+Probabilities are calibrated: rows fall into FOLDS parts by a hash, equal rows into different ones; for each part a regression is trained on the others,
 and on the part itself a sigmoid of each class's margin, with targets smoothed by the number of rows. A text's
 probabilities are the sigmoids', made to sum to 1, averaged over the parts.
 
@@ -23,7 +23,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -159,22 +159,26 @@ def train(labels: DataFrame) -> TextModel | None:
         return None
     names = sorted(r[0] for r in labels.where("category is not null").select("category").distinct().collect())
     rows = L.replicate_user_rows(labels.where("category is not null"), USER_TIMES)
-    rows = rows.withColumn("label", (F.array_position(F.lit(names), F.col("category")) - 1).cast("double")).withColumn("part", F.pmod(F.xxhash64("category", "description", "direction", "copy"), F.lit(FOLDS)).cast("int"))
-    rows = with_terms(rows).select("label", "part", "terms")
+    # merge_feedback() leaves USER_TIMES equal rows at most
+    same = F.row_number().over(Window.partitionBy("category", "description", "direction").orderBy("copy"))
+    part = F.pmod(F.pmod(F.xxhash64("category", "description", "direction"), F.lit(FOLDS)) + same, F.lit(FOLDS)).cast("int")
+    rows = rows.withColumn("label", (F.array_position(F.lit(names), F.col("category")) - 1).cast("double")).withColumn("part", part)
+    # so many partitions as rows ask for: each step of each regression is a job over them
+    rows = with_terms(rows).select("label", "part", "terms").repartition(-(-size["n"] // 5000)).persist()
     terms = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=FEATURES).fit(rows)
     counted = terms.transform(rows)
     idf = np.asarray(IDF(inputCol="tf", outputCol="tfidf").fit(counted).idf.toArray()) + 1
-    rows = weighted(counted, idf).select("label", "part", "features").persist()
+    counts, rows = rows, weighted(counted, idf).select("label", "part", "features").persist()
     parts, margins = [], None
     for p in range(FOLDS):
         own = rows.where(F.col("part") != p)
-        counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-        total = sum(counts.values())
-        if len(counts) < LEAST_CATEGORIES:
-            rows.unpersist()
+        sizes = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+        total = sum(sizes.values())
+        if len(sizes) < LEAST_CATEGORIES:
+            rows.unpersist(), counts.unpersist()
             return None
         # a row for each category, as an expression
-        weight = F.element_at(F.create_map(*[F.lit(x) for y, m in counts.items() for x in (y, total / (len(counts) * m))]), F.col("label"))
+        weight = F.element_at(F.create_map(*[F.lit(x) for y, m in sizes.items() for x in (y, total / (len(sizes) * m))]), F.col("label"))
         fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (STRENGTH * total), standardization=False, maxIter=100).fit(own.withColumn("weight", weight))
         known = fitted.numClasses
         held = fitted.transform(rows.where(F.col("part") == p)).select("part", F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("margins"))
@@ -184,7 +188,7 @@ def train(labels: DataFrame) -> TextModel | None:
             pad = F.array_repeat(F.lit(-1e3), len(names) - known)
             margins = margins.withColumn("margins", F.when(F.size("margins") < len(names), F.concat("margins", pad)).otherwise(F.col("margins")))
     sigmoids = fit_sigmoids(margins, len(names))
-    rows.unpersist()
+    rows.unpersist(), counts.unpersist()
     return TextModel(terms, idf, names, parts, [own[: m.numClasses] + [(0.0, -20.0)] * (len(names) - m.numClasses) for own, m in zip(sigmoids, parts)])
 
 

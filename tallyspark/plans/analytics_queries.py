@@ -9,7 +9,7 @@ from tallyspark.functions import constants as K
 from tallyspark.functions import scalars as S
 from tallyspark.operators import analytics as A
 from tallyspark.operators import ledger as L
-from tallyspark.plans.fixtures import LEDGER, ledger, table
+from tallyspark.plans.fixtures import LEDGER, counterparty_sql, ledger, rules_sql, table
 
 QUERIES, SQL = {}, {}
 
@@ -195,6 +195,37 @@ def rule_classify(spark, sf_dir):
     return ledger(spark, sf_dir).select("source_file", "seq", "description", "category", "confidence", "method")
 
 
+#: A narration for each rule, in order, with its direction; then some that no rule or only the other direction's matches,
+#: and shapes that names and features are cut from.
+CASES = [
+    ("cr", "ACME LTD PAYROLL MAY"), ("cr", "INT PD 01-04 TO 30-06"), ("cr", "NSDL FINAL DIV 2024"), ("cr", "ORDER REFUND/889911223"), ("dr", "NWD-422010-MUMBAI"), ("cr", "BY CASH BRANCH 12"),
+    ("dr", "CGST ON LOCKER"), ("dr", "ADVANCE TAX AY2425"), ("dr", "BAJAJ FINSERV 5533"), ("dr", "STAR HEALTH RENEWAL"), ("dr", "ZERODHA BROKING"), ("dr", "UPI-ZOMATO-442211-PAY"), ("dr", "DMART RETAIL 0042"),
+    ("dr", "MYNTRA/ONLINE/77"), ("dr", "OLA RIDE 9988"), ("dr", "IRCTC E-TICKET"), ("dr", "BBPS/MSEB/1234567"), ("dr", "JIO PREPAID"), ("dr", "SPOTIFY INDIA"), ("dr", "APOLLO PHARMACY"), ("dr", "UDEMY COURSE"), ("dr", "NOBROKER FLAT"),
+    ("dr", "PHONEPE|WALLET"), ("dr", "TO SELF SAVINGS"), ("dr", "CHQ 000123 PAID"), ("dr", "IMPS/P2A/rahul sharma/x@ybl"),
+    ("dr", "ACME LTD PAYROLL MAY"), ("cr", "SPOTIFY INDIA"), ("dr", "Misc 1234"), ("cr", ""), ("dr", "  o'neil & sons-12 "), ("dr", "ab/cd/12345 XYZ/Joe's Diner 42/REF"),
+]
+
+
+def _cases(i: int) -> str:
+    return "[" + ", ".join("'" + c[i].replace("'", "''") + "'" for c in CASES) + "]"
+
+
+def narrations(spark, sf_dir):
+    pick = lambda i: F.element_at(F.lit([c[i] for c in CASES]), (F.col("event_id") % len(CASES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", pick(0).alias("way"), pick(1).alias("description"))
+
+
+@query(f"""with c as (select {_cases(0)}[k] as way, {_cases(1)}[k] as description, k - 1 as k from (select unnest(range(1, {len(CASES) + 1})) as k)),
+m as (select k, way, description, coalesce({rules_sql("description", "way")}, 'Others') as category, {counterparty_sql("description")} as counterparty,
+  concat(array_to_string(list_filter(string_split(regexp_replace(lower(description), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '' and not regexp_full_match(w, '[0-9]{{4,}}')), ' '), ' __', way, '__') as features from c)
+select event_id, category, counterparty, features from events join m on event_id % {len(CASES)} = k""", False)
+def rule_cases(spark, sf_dir):
+    """Every rule, with names and features of narrations of many shapes."""
+    rows = narrations(spark, sf_dir)
+    found = L.classify(rows.withColumn("debit", F.when(F.col("way") == "dr", 1.0)))
+    return found.select("event_id", "category", S.counterparty(F.col("description")).alias("counterparty"), S.featurise(F.col("description"), F.col("way")).alias("features"))
+
+
 @query("""select event_id, case when p >= 0.5 then event_type else 'Others' end as category, case when p >= 0.5 then p else 0 end as confidence, case when p >= 0.5 then 'ml' else 'default' end as method
  from (select event_id, event_type, (event_id % 101)::double / 100 as p from events)""", False)
 def min_conf_gate(spark, sf_dir):

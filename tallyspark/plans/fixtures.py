@@ -1,7 +1,7 @@
 """Ledgers made from the driver's tables, in Spark and in SQL, which the registered queries run over.
 
-A ledger has source_file, seq, date, description, ref, debit, credit, balance, flag, page, counterparty, bank_name,
-account_number, category, confidence and method; rows are ordered by (source_file, seq).
+A ledger has source_file, seq, date, description, ref, debit, credit, balance, flag, page, counterparty, category,
+confidence and method; rows are ordered by (source_file, seq). Bank and account are added by ledger.with_account().
 """
 
 from __future__ import annotations

@@ -207,12 +207,13 @@ PREFIXES = list(K.BANKS)
 
 
 def headers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic account header for each customer; every fifth IFSC code has the letter O for its zero."""
+    """A synthetic account header for each customer; every fifth IFSC code has the letter O for its zero, and every seventh
+    customer has the bank's name instead of a code."""
     k = F.col("c_custkey")
     prefix = F.element_at(F.lit(PREFIXES), (k % len(PREFIXES) + 1).cast("int"))
     digits = F.lpad(k.cast("string"), 6, "0")
     lines = [
-        F.lit("Account Holder Name: Asha Rao Account No: XX"), digits, F.lit("99\nIFSC "), prefix, F.when(k % 5 == 0, "O").otherwise("0"), digits,
+        F.lit("Account Holder Name: Asha Rao Account No: XX"), digits, F.lit("99\n"), F.when(k % 7 == 3, F.concat(F.lit("Welcome to "), F.element_at(F.lit(list(K.BANKS.values())), (k % len(PREFIXES) + 1).cast("int")))).otherwise(F.concat(F.lit("IFSC "), prefix, F.when(k % 5 == 0, "O").otherwise("0"), digits)),
         F.lit(" MICR Code: 400"), digits, F.lit("\nCustomer ID: C"), digits, F.lit(" PAN ABCDE"), F.substring(digits, 3, 4), F.lit("F\nMobile: 98765"), F.substring(digits, 2, 5), F.lit(" Email: user"), digits,
         F.lit("@mail.example.com\nBranch: Main_Street Address 5\nPeriod from 01-Apr-2024 to 30-Jun-2024\n"), F.element_at(F.lit(["Currency USD", "Paid in €", "£ account", "no sign"]), (k % 4 + 1).cast("int")), F.lit("\nOpening Balance: 1,"), F.substring(digits, 4, 3), F.lit(".50\n"),
     ]
@@ -220,13 +221,13 @@ def headers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEADS = f"""with d as (select c_custkey as custkey, lpad(c_custkey::varchar, 6, '0') as digits, {_strings(PREFIXES)}[cast(c_custkey % {len(PREFIXES)} + 1 as bigint)] as prefix from customer),
-h as (select custkey, concat('c', custkey) as source_file, digits, prefix, concat('Account Holder Name: Asha Rao Account No: XX', digits, '99', chr(10), 'IFSC ', prefix, case when custkey % 5 = 0 then 'O' else '0' end, digits,
+h as (select custkey, concat('c', custkey) as source_file, digits, prefix, concat('Account Holder Name: Asha Rao Account No: XX', digits, '99', chr(10), case when custkey % 7 = 3 then 'Welcome to ' || {_strings(K.BANKS.values())}[cast(custkey % {len(PREFIXES)} + 1 as bigint)] else concat('IFSC ', prefix, case when custkey % 5 = 0 then 'O' else '0' end, digits) end,
  ' MICR Code: 400', digits, chr(10), 'Customer ID: C', digits, ' PAN ABCDE', substr(digits, 3, 4), 'F', chr(10), 'Mobile: 98765', substr(digits, 2, 5), ' Email: user', digits, '@mail.example.com', chr(10),
  'Branch: Main_Street Address 5', chr(10), 'Period from 01-Apr-2024 to 30-Jun-2024', chr(10), ['Currency USD', 'Paid in €', '£ account', 'no sign'][cast(custkey % 4 + 1 as bigint)], chr(10), 'Opening Balance: 1,', substr(digits, 4, 3), '.50', chr(10)) as text from d)
 """
 
 
-@query(HEADS + r"select source_file, regexp_extract(regexp_replace(text, '\b([A-Z]{4})O([A-Z0-9]{6})\b', '\10\2', 'g'), '\b([A-Z]{4}0[A-Z0-9]{6})\b', 1) as ifsc from h")
+@query(HEADS + r"select source_file, nullif(regexp_extract(regexp_replace(text, '\b([A-Z]{4})O([A-Z0-9]{6})\b', '\10\2', 'g'), '\b([A-Z]{4}0[A-Z0-9]{6})\b', 1), '') as ifsc from h")
 def ifsc_fix(spark, sf_dir):
     return headers_text(spark, sf_dir).select("source_file", S.ifsc(S.fix_ifsc(F.col("text"))).alias("ifsc"))
 
