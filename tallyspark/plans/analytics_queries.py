@@ -339,3 +339,15 @@ def ledger_anomalies(spark, sf_dir):
 
     wild = raw_ledger(spark, sf_dir).withColumn("debit", F.col("debit").cast("double") * F.when(F.col("o_orderkey") % 211 == 0, 9).otherwise(1))
     return A.anomalies(wild, ("debit",)).select("source_file", "seq", "anomaly")
+
+
+@query("""select strftime(date, '%Y-%m-%d %H:%M:%S') as "Date", description as "Description", ref as "Ref", debit::double as "Debit", credit::double as "Credit", balance::double as "Balance", flag as "Flag", page as "Page",
+ counterparty as "Counterparty", 'Bank ' || o_custkey % 3 as "Bank Name", case when o_custkey % 2 = 0 then lpad(o_custkey::varchar, 8, '0') end as "Account Number", source_file as "Source File", category as "Category", confidence as "Confidence", method as "Method" from ledger""")
+def export_rows(spark, sf_dir):
+    """What an export has: all columns with their headers, bank and account joined by file."""
+    from tallyspark.sources import export
+
+    rows = ledger(spark, sf_dir)
+    number = F.regexp_extract("source_file", r"(\d+)$", 1)
+    accounts = rows.select("source_file").distinct().select("source_file", F.concat(F.lit("Bank "), (number.cast("long") % 3).cast("string")).alias("bank"), F.when(number.cast("long") % 2 == 0, F.lpad(number, 8, "0")).alias("account_number"))
+    return export.for_export(L.with_account(rows, accounts)).withColumns({c: F.col(c).cast("double") for c in ("Debit", "Credit", "Balance")})

@@ -48,9 +48,11 @@ def statement_round_trip(spark, sf_dir):
     return found.select("source_file", "seq", "date", "description", "ref", *[F.col(c).cast("double").alias(c) for c in ("debit", "credit", "balance")], "flag", "page")
 
 
-@query(LEDGER + "select source_file, page, cast(count(*) + 1 as bigint) as lines from ledger group by 1, 2")
+@query(LEDGER + """select distinct source_file, page, 0 as line_no, 'Date Narration Withdrawal Deposit Balance' as text from ledger
+ union all select source_file, page, cast((seq - 1) % 40 + 1 as integer), concat_ws(' ', strftime(date, '%d/%m/%Y'), description, debit::varchar, credit::varchar, balance::varchar) from ledger""")
 def line_grouping(spark, sf_dir):
-    return layout.page_lines(statement_words(spark, sf_dir)).groupBy("source_file", "page").agg(F.count("*").alias("lines"))
+    lines = layout.page_lines(statement_words(spark, sf_dir))
+    return lines.select("source_file", "page", "line_no", layout.line_text(F.col("words")).alias("text"))
 
 
 @query(LEDGER + "select distinct source_file, page, 0 as header_line, 'date,desc,debit,credit,balance' as keys from ledger")
