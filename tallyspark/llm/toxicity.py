@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import cache, map_batches, runs
+from tallyspark.llm.common import cache, give_back, map_batches, runs
 from tallyspark.llm.shingles import mix
 
 BUCKETS, DIM, WINDOW, SAMPLE, LONG = 1 << 16, 8, 4, 3000, 30_000
@@ -73,6 +73,23 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(marked)))))
 
 
+def chunks(n: int, most: int = 20_000) -> list[tuple[int, int]]:
+    return [(a, min(n, a + most)) for a in range(0, n, most)]
+
+
+def subwords_of_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """subwords(), some words at a time."""
+    parts = [subwords(words[a:b]) for a, b in chunks(len(words))]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(begin) for _, begin in parts)])
+    return np.concatenate([np.zeros(0, np.int32), *(rows for rows, _ in parts)]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many each, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts of so many words, one after another: begin, end and text of the windows of WINDOW words that overlap by half;
     a text's last one ends with it, and texts without words have none."""
@@ -159,28 +176,32 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, least_steps: in
     # words as numbers; a word's subwords are rows[begin[w] : begin[w + 1]]
     number: dict[str, int] = {}
     read = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
-    rows, begin = subwords(list(number))
+    rows, begin = subwords_of_many(list(number))
     stream, at = np.concatenate(read), np.concatenate(([0], np.cumsum([len(x) for x in read])))
     if not len(stream):
         return Model(table, np.zeros(DIM), 0.0)
     first, last, owner = windows(np.diff(at))
     label = np.array(labels)
-    length = np.concatenate(([0], np.cumsum(np.diff(begin)[stream])))
+    size = np.diff(begin)
+    length = np.concatenate(([0], np.cumsum(size[stream])))
     sizes = length[last] - length[first]
+    del length
     positive, negative = np.flatnonzero(label[owner] == 1), np.flatnonzero(label[owner] == 0)
     if not len(positive) or not len(negative):
         return Model(table, np.zeros(DIM), 0.0)
 
     def margins(which: np.ndarray) -> np.ndarray:
-        word = np.add.reduceat((table @ weights)[rows], begin[:-1])
+        logit = table @ weights
+        word = np.concatenate([np.add.reduceat(logit[rows[begin[a] : begin[b]]], begin[a:b] - begin[a]) for a, b in chunks(len(size))])
         sums = np.concatenate(([0.0], np.cumsum(word[stream])))
         return (sums[last[which]] - sums[first[which]]) / sizes[which] + bias
 
     # before the first epoch a window's margin is that of its most telling word: the log odds of texts that have it
-    has = np.unique(np.repeat(np.arange(len(read)), np.diff(at)) * len(number) + stream)
+    has = np.unique(np.repeat(np.arange(len(texts)), np.diff(at)) * len(number) + stream)
     seen = [np.bincount((has % len(number))[label[has // len(number)] == y], minlength=len(number)) for y in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (label.sum() + 1)) - np.log((seen[0] + 0.5) / (len(label) - label.sum() + 1))
-    telling = np.array([odds[stream[a:b]].max() for a, b in zip(first, last)])
+    telling = np.maximum.reduceat(np.append(odds[stream], -np.inf), np.stack([first, last], axis=1).ravel())[::2]
+    del has, seen, number, read
 
     def worst(which: np.ndarray) -> np.ndarray:
         """Of each text its window of the greatest margin."""
@@ -202,16 +223,17 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, least_steps: in
         share = np.where(label[owner[chosen]] == 1, len(chosen) / (2 * len(yes)), len(chosen) / (2 * len(no)))
         for i in range(0, len(chosen), 32):
             which = chosen[i : i + 32]
-            own = np.concatenate([rows[begin[w] : begin[w + 1]] for j in which for w in stream[first[j] : last[j]]])
+            words = stream[ranges(first[which], last[which] - first[which])]
+            own = rows[ranges(begin[words], size[words])]
             bag = np.repeat(np.arange(len(which)), sizes[which])
-            mean = np.zeros((len(which), DIM))
-            np.add.at(mean, bag, table[own])
-            mean /= sizes[which][:, None]
+            mean = np.add.reduceat(table[own], np.cumsum(sizes[which]) - sizes[which]) / sizes[which][:, None]
             p = 1 / (1 + np.exp(-np.clip(mean @ weights + bias, -40, 40)))
             error = (p - label[owner[which]]) * share[i : i + 32]
             np.add.at(table, own, -step * (error / sizes[which])[bag][:, None] * weights * 4)
             weights -= step / len(which) * (error @ mean)
             bias -= step / len(which) * error.sum()
+    del rows, stream, first, last, owner, sizes, telling
+    give_back()
     return Model(table, weights, float(bias))
 
 
