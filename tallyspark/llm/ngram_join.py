@@ -595,3 +595,23 @@ def first_of_components(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     kept, _ = stage_table(kept, "first")
     unique = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy("key", "th").agg(F.first("row").alias("row"))
     return unique.join(kept.hint("merge"), ["key", "th"], "left_semi").select("row.*")
+
+
+def oracle(words: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for link_components() of the table documents with distinct ids: all pairs with a common shingle, and all that is reached."""
+    shingle = ", ".join(f"words[i + {j}]" for j in range(words))
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < {words} then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - {words - 2}), lambda i: concat_ws(' ', {shingle}))) end as shingles from w),
+n as (select doc_id, len(shingles) as n, list_sort(shingles) as own from s),
+classes as (select min(doc_id) as c, own, n from n where n > 0 group by own, n),
+x as (select c, n, unnest(own) as g from classes),
+pairs as (select a.c as a, b.c as b from x a join x b on a.g = b.g and a.c < b.c where 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select c as a, c as b from classes union select reach.a, links.b from reach join links on reach.b = links.a),
+low as (select a as c, min(b) as component_id from reach group by 1)
+select n.doc_id, cast(n.n as bigint) as n_shingles, coalesce(low.component_id, n.doc_id) as component_id
+from n left join classes on n.own = classes.own and n.n > 0 left join low on classes.c = low.c
+"""

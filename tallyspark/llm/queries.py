@@ -62,7 +62,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     index = warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages")), work_folder(spark, "warc"))
-    return warc.read_bundles(stage_table(index, "index")[0])
+    return warc.read_bundles(stage_table(index, "index")[0]).drop("bundle", "frame", "frame_offset")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op10_url_filter": url_lists.SQL}
+    return {"op2_license_scan": licenses.oracle(), "op4_ngram_jaccard_join": ngram_join.oracle(4, 85), "op7_warc_bundles": warc.SQL, "op10_url_filter": url_lists.SQL}

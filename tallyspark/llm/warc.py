@@ -262,3 +262,16 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
     # records of a frame after each other, so that it is read once
     places = index.join(wanted.select("record_id"), "record_id", "left_semi").sortWithinPartitions("bundle", "frame", "offset")
     return places.select("bundle", "frame", "offset", "length").mapInArrow(run, schema)
+
+
+#: What is read back, in DuckDB: a digest's base32 comes from its hexadecimal digits, five of which are four letters.
+SQL = """
+with d as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as sha from pages),
+f as (select sha, min(page_id) as first_id, list_transform(range(8), lambda i: cast(concat('0x', substr(sha, 5 * i + 1, 5)) as integer)) as quads from d group by sha),
+b as (select sha, first_id, array_to_string(list_transform(range(32), lambda k:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((quads[cast(k // 4 + 1 as integer)] >> cast(15 - 5 * (k % 4) as integer)) & 31 as integer) + 1, 1)), '') as digest from f)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, digest as payload_digest,
+  case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from d join b on d.sha = b.sha
+"""

@@ -89,6 +89,17 @@ def test_warc_query(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
+def test_warc_query_equals_sql(spark):
+    same(queries.op7_warc_bundles(spark, SF), connect(SF), queries.oracle_sql()["op7_warc_bundles"])
+
+
+def test_warc_sql_of_null_and_equal_payloads(spark):
+    rows = [(2, "u", None), (1, "u", ""), (None, "u", "x"), (None, None, ""), (7, "u", "é" * 9), (5, "u", "é" * 9)]
+    con = connect(SF)
+    con.execute("create or replace view pages as select * from (values (2, null), (1, ''), (null, 'x'), (null, ''), (7, repeat('é', 9)), (5, repeat('é', 9))) as t(page_id, html)")
+    assert sorted(con.execute(queries.oracle_sql()["op7_warc_bundles"]).fetchall(), key=key) == sorted(brute(rows), key=key)
+
+
 def test_png_round_trip():
     for raw in (b"", b"a", b"x" * 64, bytes(range(256)) * 3):
         payload = interleave.pad(raw)

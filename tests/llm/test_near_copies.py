@@ -8,6 +8,7 @@ from tallyspark.llm import ngram_join, oph
 from tallyspark.llm.shingles import shingle_hashes, shingle_sets
 from tests.conftest import SF
 from tests.llm.helpers import components, docs, shingle_set, texts
+from tests.oracle import connect
 
 
 def test_shingles_equal_python_sets():
@@ -211,5 +212,8 @@ def test_query_equals_brute_force_on_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_ngram_jaccard_join(spark, SF).collect()}
     assert got == want(rows)
+    sql = connect(SF).execute(queries.oracle_sql()["op4_ngram_jaccard_join"])
+    assert [d[0] for d in sql.description] == ["doc_id", "n_shingles", "component_id"]
+    assert {r[0]: r[1:] for r in sql.fetchall()} == got
     report = {(r.doc_id, r.n_chars, r.edited_sha256) for r in queries.op1_fingerprints(spark, SF).collect()}
     assert report == set(brute_report(rows))
