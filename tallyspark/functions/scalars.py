@@ -23,6 +23,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends, of any kind; null stays."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def let(value: Column, f) -> Column:
     """f(value) with value computed once: a column that is used many times in an expression would be repeated in its code."""
     return F.transform(F.array(value), f)[0]

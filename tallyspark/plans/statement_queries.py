@@ -432,3 +432,65 @@ def wrapped_year(spark, sf_dir):
     yearless = F.try_to_date(F.concat(F.lit("1900"), F.date_format("date", "-MM-"), F.lpad(F.least(F.dayofmonth("date"), F.lit(28)).cast("string"), 2, "0")), "yyyy-MM-dd")
     rows = raw_ledger(spark, sf_dir).select("source_file", "seq", F.lit(1).alias("page"), F.col("seq").alias("line_no"), F.when(F.col("seq") % 5 == 0, F.col("date")).otherwise(yearless).alias("day"), F.when(F.col("seq") == 2, F.year("date") + 1).cast("int").alias("wrapped_year"))
     return assembly.infer_years(rows).select("source_file", "seq", F.year("day").cast("long").alias("year"))
+
+
+TOKENS = ["A/1", "  ", "\t", "", "x", "\u00a0", "\u3000b"]
+
+
+@query("select event_id, event_id % 7 as k from events where event_id % 7 in (0, 4, 6)")
+def text_layer_words(spark, sf_dir):
+    """Tokens of white space of any kind are no words."""
+    text = F.element_at(F.lit(TOKENS), (F.col("event_id") % 7 + 1).cast("int"))
+    return layout.text_words(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7).alias("k"), text.alias("text"))).drop("text")
+
+
+@query("""with l as (select event_id, event_id % 4 as k, (event_id % 100)::double as x from events)
+select event_id, 0 as word_no, 'ab' as text, x / 2 as x0, (x + 7) / 2 as x1, 1.0::double as top, 4.0::double as bottom from l where k in (0, 1)
+union all select event_id, 1, 'c', (x + 20) / 2, (x + 30) / 2, 0.5, 4.5 from l where k = 0
+union all select event_id, 0, 'ab', 5.0, (10 + (x + 40) / 2) / 2, 0.0, 5.0 from l where k = 2
+union all select event_id, 1, 'c', (10 + (x + 40) / 2) / 2, (x + 50) / 2, 0.0, 5.0 from l where k = 2""")
+def box_words(spark, sf_dir):
+    """Recognised lines: a box for each token (0), of which one is empty (1), too many boxes (2), a low score (3)."""
+    k, x = F.col("event_id") % 4, (F.col("event_id") % 100).cast("double")
+    box = lambda *points: F.array(*[F.struct((x + dx).alias("x"), F.lit(y).alias("y")) for dx, y in points])
+    tokens = F.when(k == 0, F.array(F.lit("ab"), F.lit(" c"))).when(k == 1, F.array(F.lit("ab"), F.lit("\t"))).otherwise(F.array(F.lit("ab")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("ab c").alias("text"), F.when(k == 3, 0.5).otherwise(0.75).alias("score"), F.lit(10.0).alias("x0"), (x + 50).alias("x1"), F.lit(0.0).alias("top"), F.lit(10.0).alias("bottom"), F.lit(2.0).alias("scale"), tokens.alias("tokens"), F.array(box((5, 8.0), (0, 2.0), (7, 3.0)), box((20, 1.0), (30, 9.0))).alias("boxes"))
+    return layout.recognised_words(rows).select("event_id", "word_no", "text", "x0", "x1", "top", "bottom")
+
+
+@query("""with e as (select event_id, event_id % 9 as d, (event_id // 9) % 9 as f from events),
+j as (select *, d <= 6 as two, case when d <= 6 then f + d / 2.0 <= 6 else f <= 6 end as three from e),
+c as (select event_id, two, three, 100.0 as a, 100.0 + d as b, 100.0 + d + f as c from j)
+select event_id, 0 as line_no, case when two and three then 'c b a' when two then 'b a' else 'a' end as text,
+  round(case when two and three then (a + b + c) / 3 when two then (a + b) / 2 else a end, 6)::double as cy, 10.0::double as line_h from c
+union all select event_id, 1, case when two then 'c' when three then 'c b' else 'b' end, round(case when two then c when three then (b + c) / 2 else b end, 6)::double, 10.0 from c where not (two and three)
+union all select event_id, 2, 'c', c::double, 10.0 from c where not two and not three""")
+def running_mean_lines(spark, sf_dir):
+    """Three words one below the other: a word joins a line while it is near the mean of those in it, by the median height."""
+    first = F.lit(100.0)
+    second = first + F.col("event_id") % 9
+    third = second + F.floor(F.col("event_id") / 9) % 9
+    words = F.array(*[F.struct(F.lit(i).alias("word_no"), F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(x + 6).alias("x1"), (y - h / 2).alias("top"), (y + h / 2).alias("bottom")) for i, (t, x, y, h) in enumerate([("a", 100.0, first, 8), ("b", 50.0, second, 30), ("c", 0.0, third, 10)])])
+    rows = table(spark, sf_dir, "events").select("event_id", words.alias("ws")).select(F.lit("f").alias("source_file"), F.col("event_id").alias("page"), F.lit("text").alias("kind"), F.inline("ws"))
+    return layout.page_lines(rows).select(F.col("page").alias("event_id"), "line_no", layout.line_text(F.col("words")).alias("text"), F.round("cy", 6).alias("cy"), "line_h")
+
+
+#: Words (text, x0, line) of headers, the line that counts, and the columns they name.
+SHAPES = [
+    ([("Date", 40, 0), ("Description", 110, 0), ("/", 180, 0), ("Ref", 190, 0), ("Debit", 330, 0), ("Credit", 420, 0), ("Balance", 510, 0)], 0, "date,desc,debit,credit,balance"),
+    ([("Debit", 300, 0), ("Balance", 500, 0), ("in", 300, 1), ("Date", 40, 2), ("Particulars", 100, 2)], 2, "date,desc,debit,balance"),
+    ([("Withdrawal", 300, 0), ("Balance", 500, 0), ("Date", 40, 1)], 1, "date,debit,balance"),
+    ([("Debit", 300, 0), ("Balance", 500, 0), ("a", 0, 1), ("b", 0, 2), ("Date", 40, 3)], None, None),
+    ([("S.No", 0, 0), ("Txn", 30, 0), ("Date", 50, 0), ("Value", 100, 0), ("Date", 132, 0), ("Withdrawal", 300, 0), ("Amt", 361, 0), ("Balance", 500, 0), ("Balance", 600, 0)], 0, "date,value_date,debit,balance"),
+    ([("Date", 0, 0), ("Chq", 60, 0), ("Ref", 100, 0), ("Remarks", 200, 0), ("Amount", 300, 0), ("Dr/Cr", 400, 0), ("Balance", 500, 0)], 0, "date,ref,desc,amount,type,balance"),
+    ([("words", 0, 0), ("Date", 0, 1), ("Withdrawal", 60, 1), ("Withdrawal", 130, 1), ("Balance", 500, 1), ("Date", 600, 1)], 1, "date,debit,balance,value_date"),
+]
+
+
+@query(f"select c_custkey, {str([n for _, n, _ in SHAPES]).replace('None', 'null')}[cast(c_custkey % {len(SHAPES)} + 1 as bigint)]::integer as header_line, {_strings(k for *_, k in SHAPES)}[cast(c_custkey % {len(SHAPES)} + 1 as bigint)] as keys from customer")
+def header_shapes(spark, sf_dir):
+    """Headers in one line and in two, with words that are read together, and none."""
+    word = lambda i, t, x, y: F.struct(F.lit(i).alias("word_no"), F.lit(t).alias("text"), F.lit(float(x)).alias("x0"), F.lit(x + 6.0 * len(t)).alias("x1"), F.lit(12.0 * y).alias("top"), F.lit(12.0 * y + 10).alias("bottom"))
+    shapes = F.array(*[F.array(*[word(i, *w) for i, w in enumerate(ws)]) for ws, _, _ in SHAPES])
+    rows = table(spark, sf_dir, "customer").select(F.lit("f").alias("source_file"), F.col("c_custkey").alias("page"), F.lit("text").alias("kind"), F.inline(F.element_at(shapes, (F.col("c_custkey") % len(SHAPES) + 1).cast("int"))))
+    return layout.page_layout(rows).select(F.col("page").alias("c_custkey"), "header_line", F.array_join(F.transform("header", lambda a: a["key"]), ",").alias("keys"))
