@@ -317,18 +317,32 @@ def month_category_counts(spark, sf_dir):
     return rows.groupBy("month").agg(F.count_distinct("category").alias("categories"), F.sum("debit").cast("double").alias("amount"))
 
 
-@query()
+#: Narrations that no rule matches, with misspellings, and the category that the user gave their like.
+LEARNED = [("zorp bistro", "zorp bistrro", "Meals Out"), ("blim forecourt", "blimm forcourt", "Car"), ("quandle outfitter", "quandl outfiter", "Clothes")]
+
+
+@query(f"""select event_id, case when event_id % 4 = 3 then 'Cash Withdrawal (ATM)' else [{", ".join(repr(c) for *_, c in LEARNED)}][cast(event_id % 4 + 1 as bigint)] end as category,
+ case when event_id % 4 = 3 then 'rule' else 'ml' end as method from events""", False)
 def ml_classify(spark, sf_dir):
-    """A model of rule-labelled narrations, applied to what no rule matches."""
+    """A model of the user's labels tells misspelt narrations apart; what a rule matches stays the rule's."""
     from tallyspark.operators import learning
 
-    from tallyspark.plans.fixtures import raw_ledger
+    labels = spark.createDataFrame([(f"{text} {w}", "dr", category, "user") for text, _, category in LEARNED for w in "north south east west hill lake park dale ford".split()], "description string, direction string, category string, source string")
+    text = F.element_at(F.lit([odd for _, odd, _ in LEARNED] + ["ATM CASH"]), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(text, F.lit(" "), F.col("event_id").cast("string")).alias("description"), F.lit(5.0).alias("debit"))
+    return learning.classify(rows, learning.train(labels)).select("event_id", "category", "method")
+
+
+@query("""select concat('shop ', k) as description, case when k % 2 = 0 then 'dr' else 'cr' end as direction, concat('c', k % 3) as category,
+ case when k % 5 = 0 then 'user' else 'seed' end as source from (select distinct event_id % 60 as k from events)""", False)
+def feedback_merge(spark, sf_dir):
+    """New label rows replace old ones of equal description, direction and category."""
+    from tallyspark.operators import learning
 
-    labels = ledger(spark, sf_dir).where("method = 'rule'").groupBy("description", S.direction(F.col("debit")).alias("direction"), "category").agg(F.lit("rule").alias("source"))
-    model = learning.train(labels.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("copy"))
-    odd = F.when(F.col("description").contains("UNKNOWN"), F.concat(F.col("description"), F.lit(" SWIGGI ORDR"))).otherwise(F.col("description"))
-    rows = raw_ledger(spark, sf_dir).select("source_file", "seq", odd.alias("description"), "debit")
-    return learning.classify(rows, model, 0.2).groupBy("category", "method").agg(F.count("*").alias("rows"))
+    k = F.col("event_id") % 60
+    rows = table(spark, sf_dir, "events").select(k.alias("k"), F.concat(F.lit("shop "), k.cast("string")).alias("description"), F.when(k % 2 == 0, "dr").otherwise("cr").alias("direction"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("category"))
+    merged = learning.merge_feedback(rows.withColumn("source", F.lit("seed")).drop("k"), rows.where("k % 5 = 0").withColumn("source", F.lit("user")).drop("k"))
+    return merged.select("description", "direction", "category", "source")
 
 
 @query(""", w as (select source_file, seq, debit::double * case when o_orderkey % 211 = 0 then 9 else 1 end as x from ledger where debit > 0),
