@@ -12,6 +12,7 @@ all else (0.0). Equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,18 +98,21 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The first row of each range is sent to the range before it too (halo), that of the first to the last. The ranges
     come from a sketch of doc_id whose size is the number of ranges; no window runs over all rows and each text is
-    shuffled once. Null ids come last; rows with equal ids are ordered by a digest of their text (th).
+    shuffled once. Null ids come last; rows with equal ids are ordered by a digest of their text (th), and an id of more rows
+    than a range has is cut by that digest, too.
     """
     spark = docs.sparkSession
     parts = parts or 4 * shuffle_partitions(spark)
     lowest = -(2**63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     cuts = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    # range i holds ids from above cuts[i] down to, and with, cuts[i] ... the ids below the last cut are in the last range
-    ladder = F.lit(len(cuts))
+    # range i has the rows from cut i - 1 down to cut i: (c, None) ends the rows of the id c; an id that the sketch names m times
+    # is cut m - 1 times more, at even digests
+    cuts = [(c, t) for c, m in sorted(Counter(cuts or []).items(), reverse=True) for t in [*(-(2**63) + (j << 64) // m for j in range(1, m)), None]]
+    ladder = F.lit(0)
     if cuts:
-        ladder = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("k")))
+        ids, digests = (F.lit(list(x)).cast("array<bigint>") for x in zip(*cuts))
+        ladder = F.size(F.filter(ids, lambda c, i: (c > F.col("k")) | ((c == F.col("k")) & (F.col("th") >= F.get(digests, i)))))
     ranged = rows.withColumn("part", ladder.cast("int"))
     first = ranged.groupBy("part").agg(F.max_by(F.struct("k", "th"), F.struct("k", -F.col("th").cast("decimal(20,0)"))).alias("h"))
     heads = {r["part"]: (r["h"]["k"], r["h"]["th"]) for r in first.collect()}  # a row for each range

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import ngram_join, oph
 from tallyspark.llm.shingles import shingle_hashes, shingle_sets
@@ -41,8 +42,8 @@ def test_densification_by_brute_force():
     assert oph.pack(code, some)[0] == "" and oph.unpack(oph.pack(code, some))[0].tolist()[1] == code[1].tolist()
 
 
-def brute_report(rows):
-    order = sorted(rows, key=lambda r: -r[0])
+def brute_report(rows, key=lambda r: -r[0]):
+    order = sorted(rows, key=key)
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         t, n = t or "", n or ""
         yield i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
@@ -73,6 +74,16 @@ def want(rows, k=4, percent=85):
     return {i: (len(sets[i]), c) for i, c in components(sets, percent).items()}
 
 
+def test_a_common_id_is_cut(spark):
+    rows = [(7, f"text {i} of many with the same id") for i in range(400)] + [(i, f"other {i}") for i in range(100, 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = dict(df.select("text", F.xxhash64("text")).collect())
+    found = oph.with_next(df, 8)
+    parts = [r["count"] for r in found.where("not halo").groupBy("part").count().collect()]
+    assert sum(parts) == 450 and max(parts) <= 120 and found.where("halo").groupBy("part").count().where("count > 1").count() == 0
+    assert sorted(tuple(r)[:3] for r in oph.fingerprint_report(df).collect()) == sorted(brute_report(rows, lambda r: (-r[0], digest[r[1]])))
+
+
 def test_join_equals_brute_force(spark):
     rows = list(enumerate(texts()))
     assert joined(docs(spark)) == want(rows)
