@@ -19,12 +19,12 @@ def pages(spark, rows):
 
 
 def brute(rows):
-    first = {}
+    first, rows = {}, [(i, u, h or "") for i, u, h in rows]
     for i, _, h in rows:
         if i is not None and (h not in first or i < first[h]):
             first[h] = i
     for i, _, h in rows:
-        raw = (h or "").encode()
+        raw = h.encode()
         to = first.get(h)
         yield i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to in (None, i) else "revisit", None if to in (None, i) else to
 
